@@ -8,8 +8,8 @@ leaf tags in it) is added as the paper does. Inline and text-level elements (p,
 presentation of their block, so headings stay with the text around them.
 
 Most hosts have few pages, which tells their own tree little. The same statistics are therefore also taken over all
-hosts, for the chain with its numbers masked and lines reduced to their wording, and a host's importance is the mean of
-both, weighted by its pages. A branch is removed when its importance, and that of each block below it, is low.
+hosts, for the chain with its numbers masked and lines reduced to their wording, and a branch's importance is a mean of
+both, weighted by the host's pages. A branch is removed when its importance, and that of each block below it, is low.
 
 Every page is parsed once, in one Arrow pass; the trees are two aggregations with map-side sums over (host, chain,
 line), so that a host with a third of all pages costs no long task. Verdicts come back per host as one small map, joined with
@@ -144,12 +144,12 @@ def _importance(lines: DataFrame, keys: list[str], content: str) -> DataFrame:
     return c.join(t, keys).select(*keys, (F.lit(0.9) * content_h + F.lit(0.1) * tag_h).alias("importance"), "lines")
 
 
-def style_tree(fetches: DataFrame, *, host_col: str = "site_etld1", prior_pages: float = 20.0, threshold: float = 0.62) -> DataFrame:
+def style_tree(fetches: DataFrame, *, host_col: str = "site_etld1", prior_pages: float = 20.0, threshold: float = 0.76) -> DataFrame:
     """``fetch_id, line_no, main``: for every non-blank line of ``text`` whether it is part of the page's main body.
 
     Lines are counted from 1 with blank ones. Rows with a null id or text have no lines. A line that is not in the page's
     markup, or a page without markup, takes the verdict of its wording elsewhere and counts as main where there is none.
-    ``prior_pages`` is how many pages of its own a host needs for its tree to weigh as much as that of all hosts;
+    ``prior_pages`` is how many pages a host needs for its own tree to get half of its largest weight;
     ``threshold`` the importance below which a branch is removed.
     """
     src = fetches.select(F.col("fetch_id").cast("bigint").alias("fetch_id"), F.coalesce(F.lower(F.col(host_col)), F.lit("")).alias("host"), F.coalesce("cleaned_html", "raw_html").alias("h"), "text").where("fetch_id is not null and text is not null")
@@ -163,14 +163,14 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return d.select("fetch_id", "host", F.element_at("chains", F.col("z.chain_no") + 1).alias("chain"), F.col("z.line_no").alias("line_no"), F.col("z.tag").alias("tag"), F.col("z.own").alias("own"), F.col("z.wording").alias("wording"), F.col("z.n_words").alias("words"))
 
 
-def classify(pages: DataFrame, prior_pages: float = 20.0, threshold: float = 0.62) -> DataFrame:
+def classify(pages: DataFrame, prior_pages: float = 20.0, threshold: float = 0.76) -> DataFrame:
     """``fetch_id, line_no, main`` of parsed pages (PAGE)."""
     lines = lines_of(pages).where("chain <> '?'").withColumn("masked", mask(F.col("chain")))
     n_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     own = _importance(lines, ["host", "chain"], "own").withColumn("masked", mask(F.col("chain"))).withColumnRenamed("importance", "h_own").select("host", "chain", "masked", "h_own")
     every = _importance(lines, ["masked"], "wording").select("masked", F.col("importance").alias("h_all"))
-    # A host's own tree has half of the weight at most: copies of one policy make its main body look repeated.
-    weight = F.lit(0.5) * F.col("n_pages") / (F.col("n_pages") + F.lit(prior_pages))
+    # A host's own tree has three tenths of the weight at most: copies of one policy make its main body look repeated.
+    weight = F.lit(0.3) * F.col("n_pages") / (F.col("n_pages") + F.lit(prior_pages))
     verdict = own.join(every, "masked").join(n_pages, "host").select("host", "chain", (weight * F.col("h_own") + (1 - weight) * F.col("h_all") >= threshold).alias("main"))
     # Verdicts to pages by (host, chain): the pages of a hot host are spread over SALTS slices, their verdicts copied to each.
     salt = F.pmod(F.xxhash64("fetch_id"), F.lit(SALTS)).cast("int")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import cooccur, leakage, mixing, near_dup, textform
+from policylake.llm import boilerplate, cooccur, leakage, mixing, near_dup, residue, textform
 from policylake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,17 @@ HAVING count(*) >= 5 AND count(*) >= n.n / 500.0 AND count(*) * n.n >= 3 * ca.n
 """
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and error messages that hold template residue, filler or an error page in place of content."""
+    return residue.p4_found(table(spark, d, "fetches"), table(spark, d, "results"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of fetched pages that are no part of the policy."""
+    fetches = table(spark, d, "fetches")
+    return boilerplate.p5_found(fetches, residue.residue_pages(fetches))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item, wholly or partly."""
     return leakage.p8_found(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -51,7 +62,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p8_found, p9_mix, p10_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p8_found, p9_mix, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
