@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import boilerplate, cooccur, leakage, mixing, near_dup, residue, textform
+from policylake.llm import boilerplate, cooccur, entity_match, leakage, mixing, near_dup, residue, textform
 from policylake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.p5_found(fetches, residue.residue_pages(fetches))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of both knowledge bases that belong to one organisation."""
+    return entity_match.p7_found(table(spark, d, "kb_radar"), table(spark, d, "kb_trackerdb"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item, wholly or partly."""
     return leakage.p8_found(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -62,7 +67,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p8_found, p9_mix, p10_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p7_found, p8_found, p9_mix, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
