@@ -32,7 +32,7 @@ MASKS = (
     (r"(?<!\w)(?=[0-9a-f]*\d)[0-9a-f]{6,}(?!\w)", WILD),
     (r"\d+(?:[.,:]\d+)*", WILD),
 )
-_MASKS = [(re.compile(p), r) for p, r in MASKS]
+_MASK = re.compile("|".join(f"(?:{p})" for p, _ in MASKS))
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+")
 
 # Names of template fields.
@@ -56,12 +56,17 @@ SLOTS = (
     rf"(?i)<{_FIELD}>",
     r"<(?:error|reason|message|cause|exception)>",
 )
+#: Where a slot can begin.
+_SLOT_START = re.compile(r"[\[{<%]|@@|__|[$#]\{|\((?=[A-Za-z])")
 _SLOT = re.compile("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in SLOTS))
 #: Source code quoted in a message: its braces are no slots.
 _CODE = re.compile(r"\bf(\"[^\"\n]*\"|'[^'\n]*')")
 
 # Words of the usual filler text.
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
+FILLED = "<filler>"
+#: Four words of it in a row; they are one token of a message, as their order and number are chance.
+_LOREM = re.compile(r"(?<!\w)(?:{0})(?:[,.]? (?:{0})(?!\w)){{3,}}".format("|".join(sorted(LOREM, key=lambda w: (-len(w), w)))), re.I)
 # Filler sentences, in the languages of the crawl.
 FILLER = (
     r"^(?:heading|sub-?heading|title|headline)$",
@@ -69,7 +74,7 @@ FILLER = (
     r"\b(?:sample|dummy|placeholder|filler|example) (?:text|paragraph|content|copy)\b",
     r"\bplaceholder\b.*\breplace\b",
     r"\breplace (?:this|before launch|me)\b",
-    r"^(?:todo|tbd|fixme|xxx)\b",
+    r"^(?-i:TODO|TBD|FIXME|XXX)\b",
     r"\badd your own\b",
     r"\byour (?:content|text|policy|message) here\b",
     r"\bclick to edit\b",
@@ -119,17 +124,16 @@ TEXT = "kind string, table_name string, row_id bigint, part int, tids array<int>
 
 def masked(message: str) -> str:
     """A message with its variable parts masked."""
-    for p, r in _MASKS:
-        message = p.sub(r, message)
-    return message
+    return _MASK.sub(WILD, _LOREM.sub(FILLED, message))
+
+
+def _slot_in(text: str) -> bool:
+    return any(_SLOT.match(text, m.start()) for m in _SLOT_START.finditer(text))
 
 
 def has_slot(text: str) -> bool:
     """Whether a text has a template field that was never filled."""
-    if not ("{" in text or "[" in text or "<" in text or "%" in text or "@@" in text or "__" in text or "(" in text):
-        return False
-    m = _SLOT.search(text)
-    return bool(m) and bool(_SLOT.search(_CODE.sub(" ", text)))
+    return _slot_in(text) and _slot_in(_CODE.sub(" ", text))
 
 
 def classify_template(template: str) -> str:
@@ -137,7 +141,7 @@ def classify_template(template: str) -> str:
     ws = re.findall(r"[^\W\d_]+", template.lower())
     if has_slot(template.replace(WILD, " ")):
         return "slot"
-    if _FILLER.search(template) or (len(ws) >= 4 and sum(w in LOREM for w in ws) >= 0.75 * len(ws)):
+    if FILLED in template or _FILLER.search(template) or (len(ws) >= 4 and sum(w in LOREM for w in ws) >= 0.75 * len(ws)):
         return "filler"
     if _MARKUP.search(template):
         return "page"
@@ -149,34 +153,36 @@ def classify_template(template: str) -> str:
 
 
 class PrefixTree:
-    """Templates of messages in a tree of fixed depth."""
+    """Templates of messages in a tree of fixed depth.
+
+    The path is the number of tokens, the second and third token, and then the first one, which is often a name: from ``children``
+    different first tokens on, further ones share a wildcard branch. In a leaf a message joins the most similar
+    template if enough of its tokens agree: most of a short message's, three tenths of a long one's, of which the path has settled a part.
+    """
 
-    def __init__(self, depth: int = 3, similar: float = 0.7, children: int = 200):
-        self.depth, self.similar, self.children = depth, similar, children
+    def __init__(self, children: int = 50, similar_short: float = 0.7, similar_long: float = 0.3, long: int = 8):
+        self.children, self.similar_short, self.similar_long, self.long = children, similar_short, similar_long, long
         self.leaves: dict[tuple, list[int]] = {}
         self.fan: dict[tuple, set] = {}
         self.templates: list[list[str]] = []
 
     def leaf(self, tokens: list[str]) -> tuple:
-        """The path to a message's leaf; a node with too many children leads all further ones through a wildcard."""
-        path: tuple = (len(tokens),)
-        for t in tokens[: self.depth]:
-            if WILD in t:
-                t = WILD
-            seen = self.fan.setdefault(path, set())
-            if t not in seen:
-                if len(seen) >= self.children:
-                    t = WILD
-                else:
-                    seen.add(t)
-            path = (*path, t)
-        return path
+        """The path to a message's leaf."""
+        inner = tuple(WILD if WILD in t or t[:1].isupper() else t for t in tokens[1:3])
+        path, first = (len(tokens), *inner), tokens[0]
+        seen = self.fan.setdefault(path, set())
+        if first not in seen:
+            if len(seen) >= self.children or WILD in first:
+                first = WILD
+            else:
+                seen.add(first)
+        return (*path, first)
 
     def add(self, tokens: list[str]) -> int:
         """The number of the template that takes the message."""
         group = self.leaves.setdefault(self.leaf(tokens), [])
         n = len(tokens)
-        best, most = -1, self.similar * n
+        best, most = -1, n * (self.similar_long if n >= self.long else self.similar_short)
         for k in group:
             same = sum(map(str.__eq__, self.templates[k], tokens))
             if same >= most:
@@ -227,30 +233,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Templates of all parts that share a length and a first token: merged and classified once."""
+    """Templates of all parts in some of the leaves: merged and classified once."""
     tree = PrefixTree()
     to = [tree.add(t.split(" ")) for t in pdf["template"]]
     verdict = [classify_template(" ".join(t)) for t in tree.templates]
     return pd.DataFrame({"template": pdf["template"], "merged": [" ".join(tree.templates[k]) for k in to], "verdict": [verdict[k] for k in to]})
 
 
+#: Leaves are merged in so many groups; a leaf is never divided.
+GROUPS = 256
+
+
 def templates_of(texts: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
     """``texts`` (table_name, row_id, text) mined: ``rows`` with the template numbers of each text, and ``templates(part, tid, merged, verdict)``."""
     mined = cut(texts.mapInArrow(_miner(whole), TEXT), "templates")
     own = mined.where("kind = 'template'").select("part", F.col("row_id").cast("int").alias("tid"), "template")
-    key = [F.size(F.split("template", " ")).alias("n"), F.split_part("template", F.lit(" "), F.lit(1)).alias("first")]
-    merged = own.select("template").distinct().select("template", *key).groupBy("n", "first").applyInPandas(lambda pdf: _merge(pdf), "template string, merged string, verdict string")
+    key = F.pmod(F.xxhash64(F.size(F.split("template", " ")), F.when(F.split_part("template", F.lit(" "), F.lit(2)).rlike(r"^\p{Lu}|<\*>"), WILD).otherwise(F.split_part("template", F.lit(" "), F.lit(2)))), F.lit(GROUPS))
+    merged = own.select("template").distinct().select("template", key.alias("leaves")).groupBy("leaves").applyInPandas(lambda pdf: _merge(pdf[["template"]]), "template string, merged string, verdict string")
     return mined.where("kind = 'text'"), own.join(merged, "template").select("part", "tid", "merged", "verdict")
 
 
 def _verdicts(rows: DataFrame, templates: DataFrame) -> DataFrame:
-    """``table_name, row_id, slot, n_words, n_templates, filler, page, own``: how many templates of each kind a text has."""
-    marked = templates.where(F.col("verdict").isin("slot", "filler", "page", "own")).select("part", "tid", "verdict")
-    per = rows.select("table_name", "row_id", "part", F.explode("tids").alias("tid")).join(marked, ["part", "tid"]).groupBy("table_name", "row_id")
-    kinds = [F.count_if(F.col("verdict") == k).alias(k) for k in ("filler", "page", "own")] + [F.max(F.col("verdict") == "slot").alias("t_slot")]
-    d = rows.select("table_name", "row_id", "slot", "n_words", F.size("tids").alias("n_templates")).join(per.agg(*kinds), ["table_name", "row_id"], "left")
-    zero = [F.coalesce(k, F.lit(0)).alias(k) for k in ("filler", "page", "own")]
-    return d.select("table_name", "row_id", "n_words", "n_templates", (F.col("slot") | F.coalesce("t_slot", F.lit(False))).alias("slot"), *zero)
+    """``table_name, row_id, n_words, slot, filler, page, own``: how many templates of each kind a text has.
+
+    The templates with a verdict come as one row per part, so that a text finds them without being taken apart.
+    """
+    kinds = ("slot", "filler", "page", "own")
+    marked = templates.where(F.col("verdict").isin(*kinds)).groupBy("part").agg(*[F.collect_set(F.when(F.col("verdict") == k, F.col("tid"))).alias(f"{k}_tids") for k in kinds])
+    d = rows.join(marked, "part", "left")
+    n = {k: F.coalesce(F.size(F.array_intersect("tids", f"{k}_tids")), F.lit(0)) for k in kinds}
+    return d.select("table_name", "row_id", "n_words", (F.col("slot") | (n["slot"] > 0)).alias("slot"), *[n[k].alias(k) for k in kinds[1:]])
 
 
 #: A page with at most so many words can be an error page; one with more is content that may speak of errors.
