@@ -33,6 +33,8 @@ MASKS = (
     (r"\d+(?:[.,:]\d+)*", WILD),
 )
 _MASK = re.compile("|".join(f"(?:{p})" for p, _ in MASKS))
+#: What every masked part holds; messages without it are left alone.
+_VARIABLE = re.compile(r"\d|/[a-z0-9_]|\w\.\w")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+")
 
 # Names of template fields.
@@ -86,29 +88,43 @@ FILLER = (
     r"\btexto de (?:ejemplo|relleno)\b",
 )
 _FILLER = re.compile("|".join(FILLER), re.I)
+#: One of these is in every text that a filler pattern fits.
+FILLER_WORDS = ("heading", "title", "headline", " here", "_here", "text", "paragraph", "content", "copy", "placeholder", "replace", "todo", "tbd", "fixme", "xxx", "your own", "click to edit", "to be ", "platzhalter", "texte", "texto")
 
 # Names of HTTP states as pages write them.
 STATES = "bad request|unauthorized|forbidden|not found|method not allowed|not acceptable|request time-?out|gone|too many requests|unavailable for legal reasons|internal server error|not implemented|bad gateway|service unavailable|service temporarily unavailable|gateway time-?out|access denied"
-# Sentences of error, challenge, parking and scripts-required pages.
+# Sentences of error, challenge, parking and scripts-required pages; before each the words of which one is in every text it fits.
 PAGES = (
-    rf"^(?:error |http status |http |status )?(?:\d{{3}}|<\*>)?[\s|:·–-]*(?:{STATES})[.!]?(?: \(?(?:\d{{3}}|<\*>)\)?)?$",
-    r"^(?:http )?(?:error|status) (?:code )?(?:\d{3}|<\*>)$",
-    r"\b(?:page|document|file|link|url|resource)\b.{0,40}\b(?:not found|does not exist|no longer exists|could not be found|was not found|seems broken|is broken|has moved|never existed)\b",
-    r"\bcan(?:['’]t|not) find (?:that|this|the) page\b",
-    r"\bpage you (?:are looking for|requested)\b",
-    r"^nothing here\b",
-    r"\bpage introuvable\b|\bn[’']existe (?:pas|plus)\b",
-    r"\bseite (?:wurde )?nicht gefunden\b|\bdiese seite existiert nicht\b",
-    r"\bp[áa]gina\b.{0,40}\bno (?:existe|encontrada|se encontr)",
-    r"страниц\w+ не (?:найден|существует)",
-    r"ページは?見つかりません|見つかりませんでした",
-    r"\b(?:enable|turn on|activate|switch on) (?:javascript|js|scripts?)\b|\bjavascript is (?:disabled|required|off)\b|\brequires? (?:javascript|scripts)\b|\bscripts are required\b|\bblocks scripts\b|\bdoes not run scripts\b",
-    r"\bjavascript (?:aktivieren|einschalten)\b|\baktivieren sie javascript\b|\bactiver javascript\b|\bactive javascript\b|\bhabilite javascript\b|включите javascript|javascriptを有効",
-    r"^just a moment\b|\bone more step\b|\bchecking your browser\b|\b(?:verify|confirm)\b.{0,12}\b(?:you are|you're) (?:a )?human\b|\bunusual traffic\b|^security check\b|\bpress and hold\b|\bsolve the (?:puzzle|captcha)\b",
-    r"\bdomain\b.{0,60}\bis parked\b|\bmay be for sale\b|\bmake an offer\b|\bwebsite is under construction\b|\bsite is under construction\b|\baccount (?:has been )?suspended\b|\bdefault (?:web )?page\b|^it works!|^index of /|\bwe['’]ll be back soon\b|\bscheduled maintenance\b|\bhosting works\b",
-    r"\brequest was blocked\b|\bnot available in your region\b|\bserver is temporarily unable\b|\bupstream server\b|\bdon['’]t have permission to (?:open|access)\b|\btoo many requests from your\b|\bthe requested (?:document|url|page)\b",
+    (tuple(STATES.replace("time-?out", "time").split("|")), rf"^(?:error |http status |http |status )?(?:\d{{3}}|<\*>)?[\s|:·–-]*(?:{STATES})[.!]?(?: \(?(?:\d{{3}}|<\*>)\)?)?$"),
+    (("error", "status"), r"^(?:http )?(?:error|status) (?:code )?(?:\d{3}|<\*>)$"),
+    (("found", "exist", "broken", "moved"), r"\b(?:page|document|file|link|url|resource)\b.{0,40}\b(?:not found|does not exist|no longer exists|could not be found|was not found|seems broken|is broken|has moved|never existed)\b"),
+    (("find",), r"\bcan(?:['’]t|not) find (?:that|this|the) page\b"),
+    (("page you",), r"\bpage you (?:are looking for|requested)\b"),
+    (("nothing here",), r"^nothing here\b"),
+    (("introuvable", "existe"), r"\bpage introuvable\b|\bn[’']existe (?:pas|plus)\b"),
+    (("nicht gefunden", "existiert nicht"), r"\bseite (?:wurde )?nicht gefunden\b|\bdiese seite existiert nicht\b"),
+    (("gina",), r"\bp[áa]gina\b.{0,40}\bno (?:existe|encontrada|se encontr)"),
+    (("страниц",), r"страниц\w+ не (?:найден|существует)"),
+    (("見つかりません",), r"ページは?見つかりません|見つかりませんでした"),
+    (
+        ("javascript", " js", "script"),
+        r"\b(?:enable|turn on|activate|switch on) (?:javascript|js|scripts?)\b|\bjavascript is (?:disabled|required|off)\b|\brequires? (?:javascript|scripts)\b|\bscripts are required\b|\bblocks scripts\b|\bdoes not run scripts\b"
+        r"|\bjavascript (?:aktivieren|einschalten)\b|\baktivieren sie javascript\b|\bactiver javascript\b|\bactive javascript\b|\bhabilite javascript\b|включите javascript|javascriptを有効",
+    ),
+    (
+        ("moment", "one more", "checking", "human", "unusual", "security check", "press and", "solve"),
+        r"^just a moment\b|\bone more step\b|\bchecking your browser\b|\b(?:verify|confirm)\b.{0,12}\b(?:you are|you're) (?:a )?human\b|\bunusual traffic\b|^security check\b|\bpress and hold\b|\bsolve the (?:puzzle|captcha)\b",
+    ),
+    (
+        ("parked", "for sale", "offer", "construction", "suspended", "default", "it works", "index of", "be back", "maintenance", "hosting"),
+        r"\bdomain\b.{0,60}\bis parked\b|\bmay be for sale\b|\bmake an offer\b|\bwebsite is under construction\b|\bsite is under construction\b|\baccount (?:has been )?suspended\b|\bdefault (?:web )?page\b|^it works!|^index of /|\bwe['’]ll be back soon\b|\bscheduled maintenance\b|\bhosting works\b",
+    ),
+    (
+        ("blocked", "region", "unable", "upstream", "permission", "too many", "requested"),
+        r"\brequest was blocked\b|\bnot available in your region\b|\bserver is temporarily unable\b|\bupstream server\b|\bdon['’]t have permission to (?:open|access)\b|\btoo many requests from your\b|\bthe requested (?:document|url|page)\b",
+    ),
 )
-_PAGES = re.compile("|".join(PAGES), re.I)
+_PAGES = [(words, re.compile(p, re.I)) for words, p in PAGES]
 _MARKUP = re.compile(r"<(?:!doctype|html|head|body|title|h[1-6]|p|div|span|noscript|center|table|pre)\b[^<>]*>", re.I)
 # Marks of a crawler's own message.
 OWN = (
@@ -124,7 +140,9 @@ TEXT = "kind string, table_name string, row_id bigint, part int, tids array<int>
 
 def masked(message: str) -> str:
     """A message with its variable parts masked."""
-    return _MASK.sub(WILD, _LOREM.sub(FILLED, message))
+    if sum(w.strip(",.") in LOREM for w in message.lower().split()) >= 4:
+        message = _LOREM.sub(FILLED, message)
+    return _MASK.sub(WILD, message) if _VARIABLE.search(message) else message
 
 
 def _slot_in(text: str) -> bool:
@@ -138,16 +156,19 @@ def has_slot(text: str) -> bool:
 
 def classify_template(template: str) -> str:
     """What a template is: slot, filler, page (error, challenge, parking, scripts required), own or other."""
-    ws = re.findall(r"[^\W\d_]+", template.lower())
-    if has_slot(template.replace(WILD, " ")):
+    low = template.lower()
+    if has_slot(template.replace(WILD, " ").replace(FILLED, " ")):
         return "slot"
-    if FILLED in template or _FILLER.search(template) or (len(ws) >= 4 and sum(w in LOREM for w in ws) >= 0.75 * len(ws)):
+    if FILLED in template or (any(w in low for w in FILLER_WORDS) and _FILLER.search(template)):
+        return "filler"
+    ws = re.findall(r"[^\W\d_]+", low)
+    if len(ws) >= 4 and sum(w in LOREM for w in ws) >= 0.75 * len(ws):
         return "filler"
     if _MARKUP.search(template):
         return "page"
     if _OWN.search(template):
         return "own"
-    if _PAGES.search(template):
+    if any(any(w in low for w in words) and p.search(template) for words, p in _PAGES):
         return "page"
     return "other"
 
@@ -160,7 +181,7 @@ class PrefixTree:
     template if enough of its tokens agree: most of a short message's, three tenths of a long one's, of which the path has settled a part.
     """
 
-    def __init__(self, children: int = 50, similar_short: float = 0.7, similar_long: float = 0.3, long: int = 8):
+    def __init__(self, children: int = 50, similar_short: float = 0.6, similar_long: float = 0.3, long: int = 8):
         self.children, self.similar_short, self.similar_long, self.long = children, similar_short, similar_long, long
         self.leaves: dict[tuple, list[int]] = {}
         self.fan: dict[tuple, set] = {}
