@@ -42,13 +42,13 @@ def _is_nav(line: Column, norm: Column, repeats: Column) -> Column:
 
 
 def clean_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, ord, line, blank_before``: the lines that stay, in order. One shuffle by id; documents are bounded, ids may be many.
+    """``id_col, line_no, line, blank_before``: the lines that stay, in order. One shuffle by id; documents are bounded, ids may be many.
 
     Rows of NULL or empty text have no lines. Ids are taken as unique: rows of one id are lines of one document.
     """
-    d = df.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.regexp_replace(text_col, _IMAGE, ""), _LINE_END)).alias("ord", "raw")).where("raw is not null")
+    d = df.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.regexp_replace(text_col, _IMAGE, ""), _LINE_END)).alias("line_no", "raw")).where("raw is not null")
     d = d.withColumn("raw", strip(F.col("raw")))
-    doc, before = Window.partitionBy("id"), Window.partitionBy("id").orderBy("ord")
+    doc, before = Window.partitionBy("id"), Window.partitionBy("id").orderBy("line_no")
     # How often a line occurs is counted on the lines as they were, and looked up by what is left of them.
     d = d.withColumn("raw_norm", _norm(F.col("raw"))).withColumn("blanks", F.sum((F.col("raw") == "").cast("int")).over(before))
     d = d.withColumn("n_raw", F.count(F.lit(1)).over(Window.partitionBy("id", "raw_norm")))
@@ -61,7 +61,7 @@ def clean_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     c = F.coalesce((F.col("norm") != "") & ~web, F.lit(False))
     # A line whose links were taken out is counted under its own key only if that line occurs too.
     counts = d.where("raw_norm <> ''").select("id", F.col("raw_norm").alias("norm"), "n_raw").distinct()
-    d = d.where(c).select("id", "ord", "line", "norm", "blanks").join(counts, ["id", "norm"], "left")
+    d = d.where(c).select("id", "line_no", "line", "norm", "blanks").join(counts, ["id", "norm"], "left")
     d = d.withColumn("idx", F.row_number().over(before) - 1).withColumn("n", F.count(F.lit(1)).over(doc))
     d = d.withColumn("blank_before", F.col("blanks") > F.coalesce(F.lag("blanks").over(before), F.lit(0)))
     norm = F.col("norm")
@@ -73,15 +73,15 @@ def clean_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     preamble = F.coalesce(F.col("idx") < F.col("start"), F.lit(False)) & (F.col("nav") | (F.length("norm") <= 30))
     footer = F.coalesce(F.col("idx") >= F.col("end"), F.lit(False))
     d = d.where((F.col("keep") | ~(preamble | footer | F.col("nav"))) & F.col("line").rlike(r"[\p{L}\p{N}]"))
-    return d.select(F.col("id").alias(id_col), "ord", "line", "blank_before")
+    return d.select(F.col("id").alias(id_col), "line_no", "line", "blank_before")
 
 
 def clean_policy_text(df: DataFrame, id_col: str, text_col: str, out_col: str = "cleaned") -> DataFrame:
     """``id_col, out_col`` for every distinct id: the cleaned text, empty where nothing stays."""
     lines = clean_lines(df, id_col, text_col)
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy("ord")) == 1
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy("line_no")) == 1
     piece = F.when(F.col("blank_before") & ~F.col("first"), F.concat(F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
-    texts = lines.withColumn("first", first).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("ord", piece.alias("p")))).alias("ps"))
+    texts = lines.withColumn("first", first).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("p")))).alias("ps"))
     texts = texts.select(id_col, strip(F.array_join(F.transform("ps", lambda p: p["p"]), "\n")).alias(out_col))
     return df.select(id_col).distinct().join(texts, id_col, "left").select(id_col, F.coalesce(out_col, F.lit("")).alias(out_col))
 

@@ -15,14 +15,14 @@ def link_candidates(pages: DataFrame, key: str = "page_id", html_col: str = "htm
     A URL occurs once with its best score (the first of equals); links of one score keep the page's order.
     """
     a = pages.select(key, site_col, F.col(base_col).alias("base"), F.explode(html.anchors(F.col(html_col))).alias("a"))
-    a = a.select(key, site_col, "base", F.col("a.text").alias("anchor_text"), url.clean_href(F.col("a.href")).alias("href"), F.col("a.source").alias("source"), F.col("a.ord").alias("ord"))
+    a = a.select(key, site_col, "base", F.col("a.text").alias("anchor_text"), url.clean_href(F.col("a.href")).alias("href"), F.col("a.source").alias("source"), F.col("a.ord").alias("link_no"))
     a = a.where("href is not null").withColumn("url", url.urljoin(F.col("base"), F.col("href"))).where(url.is_http(F.col("url")))
     a = a.withColumn("candidate_etld1", url.etld1(F.col("url")))
     a = a.where(scoring.admit_link(F.col(site_col), F.col("url"), F.col("candidate_etld1"), F.col("anchor_text"), F.col("source")))
     same = F.coalesce(F.col("candidate_etld1") == F.col(site_col), F.lit(False))
     a = a.withColumn("is_same_site", same).withColumn("score", scoring.link_score(F.col("anchor_text"), F.col("url"), same))
     rec = F.struct("anchor_text", "score", "source", "candidate_etld1", "is_same_site")
-    best = a.groupBy(key, site_col, "url").agg(F.max_by(rec, F.struct("score", -F.col("ord"))).alias("r"), F.min("ord").alias("first"))
+    best = a.groupBy(key, site_col, "url").agg(F.max_by(rec, F.struct("score", -F.col("link_no"))).alias("r"), F.min("link_no").alias("first"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("r.score").desc(), "first"))
     return best.select(key, site_col, "url", "r.*", rank.alias("rank"))
 

@@ -69,25 +69,25 @@ def site_results(sites: DataFrame, fetches: DataFrame, radar: DataFrame | None =
     got = f.select("k", F.col("success").alias("fetch_success"), F.col("status_code").alias("policy_status"), F.col("text_extraction_method").alias("method"), scoring.text_len(F.col("text")).alias("text_len"), scoring.policy_likeliness(strip(F.coalesce("text", F.lit("")))).alias("likeliness_score"), F.col("text").alias("policy_text"))
     t = c.join(got, "k").select(F.col("site").alias("ord"), "phase", "no", "url", "fetch_success", "text_len", "likeliness_score")
     chosen = links.choose_policy(t.withColumnRenamed("ord", "site").withColumnRenamed("no", "ord"), "site", o.max_candidates).select(F.col("site").alias("ord"), F.col("chosen.url").alias("policy_url"))
-    d = home.join(chosen, "ord", "left")
+    d = home.join(cut(chosen, "chosen"), "ord", "left")
     as_policy = F.col("fetch_ok") & F.col("policy_url").isNull() & scoring.home_is_policy(F.col("text"))
     d = d.withColumn("policy_url", F.when(as_policy, F.col("final_url")).otherwise(F.col("policy_url"))).withColumn("k", _same_page(F.col("policy_url")))
-    d = d.join(got.drop("fetch_success"), "k", "left").drop("k")
+    d = cut(d.join(got.drop("fetch_success"), "k", "left").drop("k"), "policies")
     cleaned = clean.clean_policy_text(d.where("policy_url is not null").select("ord", "policy_text"), "ord", "policy_text")
-    d = d.join(cleaned, "ord", "left")
+    d = d.join(cut(cleaned, "cleaned"), "ord", "left")
     policy = F.when(
         F.col("policy_url").isNotNull(),
         F.struct(F.col("policy_url").alias("url"), F.col("policy_status").alias("status_code"), "likeliness_score", F.length("cleaned").cast("bigint").alias("text_len"), F.col("text_len").cast("bigint").alias("text_len_raw"), F.col("method").alias("extraction_method")),
     )
     reason = F.when(F.col("fetch_ok"), html.non_browsable(F.col("status_code"), F.col("text"), F.col("cleaned_html")))
     status, code = third_party.final_status(F.col("policy_url"), F.col("non_browsable_reason"))
-    state = F.when(~truthy(F.col("input")), F.lit(None)).when(~F.col("fetch_ok"), F.lit("home_fetch_failed")).otherwise(status)
+    state = F.when(~truthy(strip(F.col("input"))), F.lit(None)).when(~F.col("fetch_ok"), F.lit("home_fetch_failed")).otherwise(status)
     d = d.withColumn("non_browsable_reason", reason).withColumn("first_party_policy", policy).withColumn("status", state)
 
     # Third parties.
     tp = third_party_records(home, f, radar, trackerdb, o)
     d = d.join(tp, "ord", "left")
-    error = F.when(~truthy(F.col("input")), F.lit("empty_input")).when(~F.col("fetch_ok"), F.coalesce("error_message", F.lit("home_fetch_failed")))
+    error = F.when(~truthy(strip(F.col("input"))), F.lit("empty_input")).when(~F.col("fetch_ok"), F.coalesce("error_message", F.lit("home_fetch_failed")))
     return d.select(
         "rank", "input", "site_url", "final_url", "site_etld1", "status", F.col("status_code").alias("home_status_code"), "status_code", error.alias("error_message"), "first_party_policy", "non_browsable_reason",
         F.coalesce("third_parties", F.array()).alias("third_parties"), F.coalesce("third_party_policy_fetches", F.array()).alias("third_party_policy_fetches"),
