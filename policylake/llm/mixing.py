@@ -144,6 +144,6 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER,
 
 
 def p9_mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every copy of the mix, with the share its source was to have and really has."""
-    mixed, report = mix(documents, targets)
+    """Every copy of the mix with its text, and the share its source was to have and really has."""
+    mixed, report = mix(documents, targets, with_text=True)
     return mixed.join(F.broadcast(report.select("source", "target_share", "actual_share")), "source")

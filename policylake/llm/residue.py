@@ -50,7 +50,7 @@ SLOTS = (
     r"%\([A-Za-z_]\w*\)[sdrf]",
     r"(?<![\w%])%[sd](?!\w)",
     r"(?<![\w%])%[A-Za-z][A-Za-z_ ]{1,40}[A-Za-z]%(?!\w)",
-    r"@@[A-Za-z][\w ]{1,60}@@",
+    r"@@[A-Za-z][\w ]{0,60}@@",
     r"(?<!\w)__[A-Za-z][A-Za-z_ ]{1,60}?__(?!\w)",
     r"(?<![\w{$#%])\{(?:[A-Za-z_][\w.]*(?:![rsa])?|\d{1,2})\}(?!\})",
     r"(?i)[\[(](?:insert|enter|add|fill in|your) [^\[\]()\n]{1,60}[\])]",
