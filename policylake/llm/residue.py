@@ -145,6 +145,18 @@ def masked(message: str) -> str:
     return _MASK.sub(WILD, message) if _VARIABLE.search(message) else message
 
 
+#: A message of so many tokens, most of them capitalised, is a list of names: which ones makes no template.
+NAMES = 12
+
+
+def tokens_of(message: str) -> list[str]:
+    """The tokens of a message, masked; names in a list of names are wildcards."""
+    ts = masked(message).split()
+    if len(ts) >= NAMES and 5 * sum(t[:1].isupper() for t in ts) >= 3 * len(ts):
+        ts = [WILD if t[:1].isupper() else t for t in ts]
+    return ts
+
+
 def _slot_in(text: str) -> bool:
     return any(_SLOT.match(text, m.start()) for m in _SLOT_START.finditer(text))
 
@@ -231,7 +243,7 @@ def _miner(whole: bool):
                 for m in [t.replace("\n", " ")] if whole else _SENTENCE.split(t):
                     k = known.get(m)
                     if k is None:
-                        tokens = masked(m).split()
+                        tokens = tokens_of(m)
                         if not tokens:
                             continue
                         k = tree.add(tokens)
