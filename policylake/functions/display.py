@@ -101,3 +101,19 @@ def bar_width(value: Column, floor: float = 1.0) -> Column:
 
 def mapping_mode(radar: bool, trackerdb: bool) -> str:
     return {(True, True): "mixed", (False, True): "trackerdb", (True, False): "radar", (False, False): "none"}[radar, trackerdb]
+
+
+def proxy_config(address: str | None) -> dict[str, str] | None:
+    """``server`` and, where the address names them, ``username`` and ``password`` of a proxy."""
+    from urllib.parse import unquote, urlsplit
+
+    if not address:
+        return None
+    u = urlsplit(address if "://" in address else f"http://{address}")
+    if not u.hostname:
+        return {"server": address}
+    out = {"server": f"{u.scheme}://{u.hostname}" + (f":{u.port}" if u.port else "")}
+    for key, value in (("username", u.username), ("password", u.password)):
+        if value:
+            out[key] = unquote(value)
+    return out

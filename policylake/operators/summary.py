@@ -125,11 +125,12 @@ def explorer_records(results: DataFrame) -> DataFrame:
     return results.select("result_id", "rank", first_truthy(F.col("site_etld1"), F.col("input")).alias("site"), "status", p["url"].alias("policyUrl"), p["extraction_method"].alias("extractionMethod"), tps.alias("thirdParties"))
 
 
-def explorer_filter(records: DataFrame, status: str | None = None, min_third_parties: int = 0, query: str = "") -> DataFrame:
-    """Explorer records with a site, of one status, with enough third parties and a part of the name."""
+def explorer_filter(records: DataFrame, status: str | None = None, min_third_parties: int = 0, query: str = "", limit: int | None = None) -> DataFrame:
+    """Explorer records with a site, of one status, with enough third parties and a part of the name; all, or the first ``limit`` by rank."""
     d = records.where(truthy(F.col("site"))).where(F.size("thirdParties") >= min_third_parties)
     d = d.where(F.col("status") == status) if status else d
-    return d.where(F.lower("site").contains(query.strip().lower())) if query.strip() else d
+    d = d.where(F.lower("site").contains(query.strip().lower())) if query.strip() else d
+    return d.orderBy(F.col("rank").asc_nulls_last(), "site").limit(limit) if limit else d
 
 
 def reveal(records: DataFrame, progress: float, order: str = "rank") -> DataFrame:
@@ -166,3 +167,9 @@ def run_history(summaries: DataFrame, states: DataFrame) -> DataFrame:
 def failure_count(counts: Column) -> Column:
     """Failures in a status map, exceptions not among them."""
     return sum((F.coalesce(F.try_element_at(counts, F.lit(s)), F.lit(0)) for s in ("policy_not_found", "non_browsable", "home_fetch_failed")), F.lit(0))
+
+
+def run_stats(history: DataFrame) -> DataFrame:
+    """Counts of each run as the run list shows them: of the summary, else of the state, else 0."""
+    pick = lambda c: F.coalesce(F.col(f"summary.{c}"), F.col(f"state.{c}"), F.lit(0)).alias(c)
+    return history.select("folder", "run_id", "updated_at", pick("total_sites"), pick("processed_sites"))

@@ -35,6 +35,11 @@ def run_states(events: DataFrame) -> DataFrame:
     )
 
 
+def tail(events: DataFrame, ts: str, k: int = 50) -> DataFrame:
+    """The last ``k`` rows, newest first."""
+    return events.orderBy(F.col(ts).desc()).limit(k)
+
+
 def event_counts(events: DataFrame, by: str = "event_type") -> DataFrame:
     return events.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 

@@ -118,6 +118,7 @@ def test_onetrust(spark):
 
 
 def test_display(spark):
+    assert display.proxy_config("http://u:p%40@h:8080") == {"server": "http://h:8080", "username": "u", "password": "p@"} and display.proxy_config("") is None
     assert one(spark, display.duration(F.col("m")), m=3_725_000) == "1h 02m"
     assert one(spark, display.duration(F.col("m")), m=65_000) == "1m 05s"
     assert one(spark, display.duration(F.col("m")), m=0) == "—"

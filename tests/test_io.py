@@ -59,6 +59,8 @@ def test_run_folders(spark, tmp_path):
     (tmp_path / "output_a/results.summary.json").write_text(json.dumps({"run_id": "A", "updated_at": "2024-01-04T00:00:00Z", "status_counts": {"ok": 1}}))
     h = summary.run_history(*sources.run_folders(spark, str(tmp_path))).select("folder", "run_id").collect()
     assert [tuple(r) for r in h] == [("output_a", "A"), ("output_b", "output_b")]
+    stats = summary.run_stats(summary.run_history(*sources.run_folders(spark, str(tmp_path))))
+    assert {tuple(r) for r in stats.select("run_id", "processed_sites").collect()} == {("A", 0), ("output_b", 0)}
 
 
 def test_telemetry(spark, rows, tmp_path):
@@ -77,6 +79,7 @@ def test_telemetry(spark, rows, tmp_path):
     assert rows(telemetry.run_to_table(telemetry.progress(stream), "complete")) == want
     s = telemetry.run_states(batch).first()
     assert (s["latest_site"], s["latest_stage"], s["processed"], s["running"]) == ("b", "home_fetch", 2, True)
+    assert rows(telemetry.tail(batch, "timestamp", 1), "type") == [("run_progress",)]
     got = []
     telemetry.emit(batch.select("type").limit(1), got.append)
     assert json.loads(got[0])["type"]
