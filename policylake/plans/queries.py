@@ -168,7 +168,7 @@ _SCORE = f"""CASE WHEN {_any("lower(u)", fixed.SCORE_URL_WORDS)} THEN 5.0 ELSE 0
  generate_subscripts(regexp_extract_all(cleaned_html, '<a href="([^"]*)">', 1), 1) AS o FROM fetches WHERE cleaned_html IS NOT NULL),
 b AS (SELECT fetch_id, o, a, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[^:]*://[^/]*') ELSE regexp_replace(url, '[^/]*$', '') END || href AS u FROM a WHERE href <> '' AND NOT starts_with(href, '#')),
 c AS (SELECT fetch_id, u, max({_SCORE}) AS score, min(o) AS o FROM b GROUP BY fetch_id, u)
-SELECT fetch_id, u AS url, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY fetch_id ORDER BY score DESC, o) = 1"""
+SELECT fetch_id, u AS url, round(score::DOUBLE, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY fetch_id ORDER BY score DESC, o) = 1"""
 )
 def link_best(spark: SparkSession, d: str) -> DataFrame:
     """The best candidate link of each fetched page; all links of the test pages stay on their site."""
@@ -189,7 +189,7 @@ def legal_hubs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT DISTINCT site_etld1, p.p AS path, regexp_extract(site_url, '^[^:]*://[^/]*') || p.p AS candidate_url, CASE WHEN {ETLD1.format(HOST.format('site_url'))} = site_etld1 THEN 2.8 ELSE 1.2 END AS score "
+    f"SELECT DISTINCT site_etld1, p.p AS path, regexp_extract(site_url, '^[^:]*://[^/]*') || p.p AS candidate_url, CASE WHEN {ETLD1.format(HOST.format('site_url'))} = site_etld1 THEN 2.8 ELSE 1.2 END::DOUBLE AS score "
     f"FROM results, (SELECT unnest([{', '.join(repr(p) for p in fixed.FALLBACK_PATHS)}])) AS p(p) WHERE site_url IS NOT NULL"
 )
 def fallback_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ def non_browsable(spark: SparkSession, d: str) -> DataFrame:
     return f.select("fetch_id", html.non_browsable(F.col("status_code"), F.col("text"), F.col("cleaned_html")).alias("reason"))
 
 
-@query(f"SELECT doc_id, round({_LIKE}, 6) AS score FROM documents")
+@query(f"SELECT doc_id, round(({_LIKE})::DOUBLE, 6) AS score FROM documents")
 def policy_likeliness(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.round(scoring.policy_likeliness(F.col("text")), 6).alias("score"))
 
