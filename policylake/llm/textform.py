@@ -33,13 +33,15 @@ LOOKALIKES = (
 )
 # Hyphens drawn like the ASCII one.
 HYPHENS = "‐‑﹣"
+# Half-width sound marks, which belong to the letter before them.
+HALF_MARKS = "ﾞﾟ"
 # Ranges of characters without a look of their own, beside the category Cf.
 INVISIBLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
 
 
 def _codepoints():
     """The blocks that hold letters with other widths, spaces, combining marks or invisible characters."""
-    return chain(range(0x80, 0x11000), range(0x1BCA0, 0x1BCA4), range(0x1D165, 0x1D245), range(0x1E000, 0x1E950), range(0xE0000, 0xE01F0))
+    return chain(range(0x80, 0x12000), range(0x16100, 0x17000), range(0x1BCA0, 0x1BCA4), range(0x1D165, 0x1D245), range(0x1E000, 0x1E950), range(0xE0000, 0xE01F0))
 
 
 def _build() -> tuple[dict[str, str], set[str]]:
@@ -91,7 +93,7 @@ def _ranges(chars) -> str:
     return "".join(out)
 
 
-_MARK = "[" + _ranges({chr(c) for c in _codepoints() if unicodedata.combining(chr(c))} | _INVISIBLE) + "]"
+_MARK = "[" + _ranges({chr(c) for c in _codepoints() if unicodedata.category(chr(c))[0] == "M" or 0x1160 <= c <= 0x11FF} | set(HALF_MARKS) | _INVISIBLE) + "]"
 #: A cluster that may need rewriting: any non-ASCII base or an ASCII base followed by a mark, with all its marks.
 _CLUSTER = re.compile(f"(?:[^\\x00-\\x7f]|[\\x00-\\x7f](?={_MARK})){_MARK}*")
 
