@@ -183,18 +183,21 @@ TRACKING = ("ref", "fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "yclid", "i
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
 
-def url_words(url) -> Column:
+def url_words(url, www: bool = True) -> Column:
     """A URL column as space-separated words that are the same for every way of writing one page's address.
 
     Scheme, letter case of the host, default port, user part, fragment, repeated and final slashes, percent
     signs before unreserved characters, tracking parameters and the order of parameters are no difference;
-    everything else is, a leading ``www.`` too. NULL where there is no host.
+    everything else is. A leading ``www.`` of the host is a difference with ``www``, and none without it.
+    NULL where there is no host.
     """
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     u = F.regexp_replace(u, "^(?i:https?):/*|^//", "")
     host = F.regexp_extract(u, r"^([^/?]*)", 1)
     host = F.regexp_replace(F.lower(F.regexp_replace(host, "^.*@", "")), r":(80|443)?$|\.+$", "")
     host = F.regexp_replace(host, r"\.+$", "")
+    if not www:
+        host = F.regexp_replace(host, r"^www\.(?=.)", "")
     path = F.regexp_extract(u, r"^[^/?]*([^?]*)", 1)
     query = F.regexp_extract(u, r"\?(.*)$", 1)
 
@@ -221,14 +224,15 @@ def _unescape(col) -> Column:
     return F.array_join(F.transform(parts, piece), "")
 
 
-def same_page_urls(df: DataFrame, url_col: str) -> DataFrame:
+def same_page_urls(df: DataFrame, url_col: str, www: bool = True) -> DataFrame:
     """Pairs (key_a < key_b in byte order) of different strings in ``url_col`` that lead to one page.
 
     The same min-max operator over the words of the address (one-word runs, whole similarity): addresses of
     one page have one signature, so a single band of all values finds them; equal word sets are one class.
+    Without ``www`` a host and its ``www.`` name are one host.
     """
     urls = df.select(F.col(f"`{url_col}`").alias("u")).where("u is not null and u <> ''").distinct()
-    links, members = near_duplicate_links(urls.select("u", url_words(F.col("u")).alias("w")), "u", "w", n=1, threshold=1.0, bands=1, rows=16, whole_words=True)
+    links, members = near_duplicate_links(urls.select("u", url_words(F.col("u"), www).alias("w")), "u", "w", n=1, threshold=1.0, bands=1, rows=16, whole_words=True)
     return near_duplicate_pairs(links, members)
 
 
@@ -236,5 +240,5 @@ def p1_found(fetches: DataFrame, third_parties: DataFrame) -> DataFrame:
     """kind, key_a, key_b: pairs of nearly equal policy texts and of addresses of one page."""
     links, members = near_duplicate_links(fetches, "fetch_id", "text", n=3, threshold=0.5, min_words=80, bands=96, rows=5)
     texts = near_duplicate_pairs(links, members, numeric=True).select(F.lit("text").alias("kind"), "key_a", "key_b")
-    urls = same_page_urls(third_parties, "policy_url").select(F.lit("policy_url").alias("kind"), "key_a", "key_b")
+    urls = same_page_urls(third_parties, "policy_url", www=False).select(F.lit("policy_url").alias("kind"), "key_a", "key_b")
     return texts.unionByName(urls).distinct()

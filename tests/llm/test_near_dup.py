@@ -72,3 +72,11 @@ def test_urls(spark, rows):
     got = set(rows(N.same_page_urls(spark.createDataFrame(all_, "u string"), "u")))
     want = {tuple(sorted((a, b))) for k, v in URLS.items() for a in (k, *v) for b in (k, *v) if a < b}
     assert got == want
+
+
+def test_www_is_no_other_host(spark, rows):
+    same = ["https://h.example/privacy", "https://www.h.example/privacy/", "http://WWW.h.example.:80/privacy", "//user@www.h.example/privacy"]
+    other = ["https://www.h.example/", "https://www2.h.example/privacy", "https://a.www.h.example/privacy", "https://www.www.h.example/privacy", "https://wwwh.example/privacy", "https://www./privacy"]
+    t = spark.createDataFrame([(u,) for u in same + other], "policy_url string")
+    f = spark.createDataFrame([], "fetch_id bigint, text string")
+    assert set(rows(N.p1_found(f, t))) == {("policy_url", a, b) for a in same for b in same if a < b}
