@@ -145,14 +145,14 @@ def masked(message: str) -> str:
     return _MASK.sub(WILD, message) if _VARIABLE.search(message) else message
 
 
-#: A message of so many tokens, most of them capitalised, is a list of names: which ones makes no template.
+#: A message of so many tokens, most of them capitalised, and without a verdict of its own is a list of names: which ones makes no template.
 NAMES = 12
 
 
 def tokens_of(message: str) -> list[str]:
     """The tokens of a message, masked; names in a list of names are wildcards."""
     ts = masked(message).split()
-    if len(ts) >= NAMES and 5 * sum(t[:1].isupper() for t in ts) >= 3 * len(ts):
+    if len(ts) >= NAMES and 5 * sum(t[:1].isupper() for t in ts) >= 3 * len(ts) and classify_template(" ".join(ts)) == "other":
         ts = [WILD if t[:1].isupper() else t for t in ts]
     return ts
 

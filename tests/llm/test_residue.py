@@ -36,3 +36,15 @@ def test_tree():
     assert t.add("Bad Gateway".split()) != t.add("Not Found".split())
     many = R.PrefixTree(children=5)
     assert len({many.add(f"Name{chr(97 + i % 26)}{chr(97 + i // 26)} answers within a day".split()) for i in range(200)}) <= 6
+
+
+CAPITALS = ["The Page You Are Looking For Could Not Be Found On This Server", "ACCESS TO THIS PAGE IS REFUSED BECAUSE YOUR BROWSER DOES NOT RUN SCRIPTS", "This Dummy Text Will Be Changed By The Owner Of The Site Before Launch"]
+NAMED = "Our Partners Are Lobomi, Teha, Rado, Ploze, Pigofe, Zesepi, Mepiplo, Larofi And Tenidra."
+
+
+def test_capitals(spark, rows):
+    assert all(len(m.split()) >= R.NAMES and R.tokens_of(m) == m.split() for m in CAPITALS)
+    assert R.WILD in R.tokens_of(NAMED)
+    m = list(enumerate([*CAPITALS, NAMED]))
+    f, r = spark.createDataFrame(m, "fetch_id bigint, text string"), spark.createDataFrame(m, "result_id bigint, error_message string")
+    assert rows(R.p4_found(f, r)) == [(t, i) for t in ("fetches", "results") for i in range(len(CAPITALS))]
