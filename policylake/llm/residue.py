@@ -2,10 +2,11 @@
 
 Messages (the sentences of a page's lines, or a whole error message) are mined for templates with a fixed-depth
 prefix tree (He et al., "Drain", ICWS 2017): the number of tokens, then the first tokens, lead to a leaf; in the leaf the
-most similar template takes the message, and positions that differ become wildcards. Each task grows a tree of its
-own part; the parts' templates, whose number depends on the variety of messages and not on how many there are, are
-merged by the same tree, leaf by leaf. Each merged template is classified once and its verdict is propagated to all
-texts that hold one of its messages. Unresolved slots inside ordinary texts are looked for separately, in the texts.
+most similar template takes the message, and positions that differ become wildcards. A message is classified on its own
+words before it enters the tree and its verdict is a part of the leaf's path, so that no wildcard erases the words that
+decide, and what is found in one text does not depend on the others. Each task grows a tree of its own part; the parts'
+templates, whose number depends on the variety of messages and not on how many there are, are merged by the same tree,
+leaf by leaf; the verdict of a template is that of all its messages. Unresolved slots inside ordinary texts are looked for separately, in the texts.
 
 One Arrow pass reads every text whole; the only shuffles are those of the templates and of the few texts with a verdict.
 """
@@ -135,7 +136,7 @@ OWN = (
 )
 _OWN = re.compile("|".join(OWN), re.I)
 
-TEXT = "kind string, table_name string, row_id bigint, part int, tids array<int>, slot boolean, n_words int, template string"
+TEXT = "kind string, table_name string, row_id bigint, part int, tids array<int>, slot boolean, n_words int, template string, verdict string"
 
 
 def masked(message: str) -> str:
@@ -149,12 +150,18 @@ def masked(message: str) -> str:
 NAMES = 12
 
 
-def tokens_of(message: str) -> list[str]:
-    """The tokens of a message, masked; names in a list of names are wildcards."""
+def read_message(message: str) -> tuple[list[str], str]:
+    """The tokens of a message, masked, and its verdict; names in a list of names are wildcards."""
     ts = masked(message).split()
-    if len(ts) >= NAMES and 5 * sum(t[:1].isupper() for t in ts) >= 3 * len(ts) and classify_template(" ".join(ts)) == "other":
+    verdict = classify_template(" ".join(ts))
+    if len(ts) >= NAMES and verdict == "other" and 5 * sum(t[:1].isupper() for t in ts) >= 3 * len(ts):
         ts = [WILD if t[:1].isupper() else t for t in ts]
-    return ts
+    return ts, verdict
+
+
+def tokens_of(message: str) -> list[str]:
+    """The tokens of a message as they enter the tree."""
+    return read_message(message)[0]
 
 
 def _slot_in(text: str) -> bool:
@@ -188,7 +195,7 @@ def classify_template(template: str) -> str:
 class PrefixTree:
     """Templates of messages in a tree of fixed depth.
 
-    The path is the number of tokens, the second and third token, and then the first one, which is often a name: from ``children``
+    The path is the verdict, the number of tokens, the second and third token, and then the first one, which is often a name: from ``children``
     different first tokens on, further ones share a wildcard branch. In a leaf a message joins the most similar
     template if enough of its tokens agree: most of a short message's, three tenths of a long one's, of which the path has settled a part.
     """
@@ -198,11 +205,12 @@ class PrefixTree:
         self.leaves: dict[tuple, list[int]] = {}
         self.fan: dict[tuple, set] = {}
         self.templates: list[list[str]] = []
+        self.verdicts: list[str] = []
 
-    def leaf(self, tokens: list[str]) -> tuple:
+    def leaf(self, tokens: list[str], verdict: str = "other") -> tuple:
         """The path to a message's leaf."""
         inner = tuple(WILD if WILD in t or t[:1].isupper() else t for t in tokens[1:3])
-        path, first = (len(tokens), *inner), tokens[0]
+        path, first = (verdict, len(tokens), *inner), tokens[0]
         seen = self.fan.setdefault(path, set())
         if first not in seen:
             if len(seen) >= self.children or WILD in first:
@@ -211,9 +219,9 @@ class PrefixTree:
                 seen.add(first)
         return (*path, first)
 
-    def add(self, tokens: list[str]) -> int:
-        """The number of the template that takes the message."""
-        group = self.leaves.setdefault(self.leaf(tokens), [])
+    def add(self, tokens: list[str], verdict: str = "other") -> int:
+        """The number of the template that takes the message; only messages of one verdict share a template."""
+        group = self.leaves.setdefault(self.leaf(tokens, verdict), [])
         n = len(tokens)
         best, most = -1, n * (self.similar_long if n >= self.long else self.similar_short)
         for k in group:
@@ -225,6 +233,7 @@ class PrefixTree:
         if best < 0:
             group.append(len(self.templates))
             self.templates.append(list(tokens))
+            self.verdicts.append(verdict)
             return len(self.templates) - 1
         self.templates[best] = [a if a == b else WILD for a, b in zip(self.templates[best], tokens)]
         return best
@@ -243,34 +252,33 @@ def _miner(whole: bool):
                 for m in [t.replace("\n", " ")] if whole else _SENTENCE.split(t):
                     k = known.get(m)
                     if k is None:
-                        tokens = tokens_of(m)
+                        tokens, verdict = read_message(m)
                         if not tokens:
                             continue
-                        k = tree.add(tokens)
+                        k = tree.add(tokens, verdict)
                         if len(known) > 200_000:
                             known.clear()
                         known[m] = k
                     tids.add(k)
-                rows.append(("text", name, i, part, sorted(tids), has_slot(t), len(t.split()), None))
+                rows.append(("text", name, i, part, sorted(tids), has_slot(t), len(t.split()), None, None))
             if rows:
                 yield _batch(rows)
         for s in range(0, len(tree.templates), 10_000):
-            yield _batch([("template", None, k, part, None, None, None, " ".join(tree.templates[k])) for k in range(s, min(s + 10_000, len(tree.templates)))])
+            yield _batch([("template", None, k, part, None, None, None, " ".join(tree.templates[k]), tree.verdicts[k]) for k in range(s, min(s + 10_000, len(tree.templates)))])
 
     return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.string())
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.string(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split(" ")[0] for x in TEXT.split(", ")])
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Templates of all parts in some of the leaves: merged and classified once."""
+    """Templates of all parts in some of the leaves, merged within their verdict."""
     tree = PrefixTree()
-    to = [tree.add(t.split(" ")) for t in pdf["template"]]
-    verdict = [classify_template(" ".join(t)) for t in tree.templates]
-    return pd.DataFrame({"template": pdf["template"], "merged": [" ".join(tree.templates[k]) for k in to], "verdict": [verdict[k] for k in to]})
+    to = [tree.add(t.split(" "), v) for t, v in zip(pdf["template"], pdf["verdict"])]
+    return pd.DataFrame({"template": pdf["template"], "merged": [" ".join(tree.templates[k]) for k in to], "verdict": pdf["verdict"]})
 
 
 #: Leaves are merged in so many groups; a leaf is never divided.
@@ -280,10 +288,10 @@ GROUPS = 256
 def templates_of(texts: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
     """``texts`` (table_name, row_id, text) mined: ``rows`` with the template numbers of each text, and ``templates(part, tid, merged, verdict)``."""
     mined = cut(texts.mapInArrow(_miner(whole), TEXT), "templates")
-    own = mined.where("kind = 'template'").select("part", F.col("row_id").cast("int").alias("tid"), "template")
+    own = mined.where("kind = 'template'").select("part", F.col("row_id").cast("int").alias("tid"), "template", "verdict")
     key = F.pmod(F.xxhash64(F.size(F.split("template", " ")), F.when(F.split_part("template", F.lit(" "), F.lit(2)).rlike(r"^\p{Lu}|<\*>"), WILD).otherwise(F.split_part("template", F.lit(" "), F.lit(2)))), F.lit(GROUPS))
-    merged = own.select("template").distinct().select("template", key.alias("leaves")).groupBy("leaves").applyInPandas(lambda pdf: _merge(pdf[["template"]]), "template string, merged string, verdict string")
-    return mined.where("kind = 'text'"), own.join(merged, "template").select("part", "tid", "merged", "verdict")
+    merged = own.select("template", "verdict").distinct().select("template", "verdict", key.alias("leaves")).groupBy("leaves").applyInPandas(lambda pdf: _merge(pdf[["template", "verdict"]]), "template string, merged string, verdict string")
+    return mined.where("kind = 'text'"), own.join(merged, ["template", "verdict"]).select("part", "tid", "merged", "verdict")
 
 
 def _verdicts(rows: DataFrame, templates: DataFrame) -> DataFrame:

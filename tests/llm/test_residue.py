@@ -48,3 +48,17 @@ def test_capitals(spark, rows):
     m = list(enumerate([*CAPITALS, NAMED]))
     f, r = spark.createDataFrame(m, "fetch_id bigint, text string"), spark.createDataFrame(m, "result_id bigint, error_message string")
     assert rows(R.p4_found(f, r)) == [(t, i) for t in ("fetches", "results") for i in range(len(CAPITALS))]
+
+
+ALIKE = ["Your browser does not run scripts, so nothing can appear.", "Your browser does not send us anything beyond these records."]
+
+
+def test_verdict_does_not_depend_on_other_texts(spark, rows):
+    for order in (ALIKE, ALIKE[::-1]):
+        t = R.PrefixTree()
+        ks = [t.add(*R.read_message(m)) for m in order]
+        assert [t.verdicts[k] for k in ks] == ["page" if m == ALIKE[0] else "other" for m in order] and len(set(ks)) == 2
+    for part in (1, 3):  # in one tree, and in trees that are merged
+        m = spark.createDataFrame(list(enumerate(ALIKE)), "fetch_id bigint, text string").repartition(part)
+        r = m.selectExpr("fetch_id as result_id", "text as error_message")
+        assert rows(R.p4_found(m, r)) == [("fetches", 0), ("results", 0)]
