@@ -88,11 +88,12 @@ def _scan(items, min_run: int, min_coverage: float):
     block = min_run // 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = {i: passage_words(p) for i, p in items.value}
+        # By place, not by id: an item may have several passages.
+        texts = [(i, passage_words(p)) for i, p in items.value]
         seeds: dict[tuple, set] = defaultdict(set)
-        for i, ws in texts.items():
+        for n, (_, ws) in enumerate(texts):
             for k in range(len(ws) - block + 1):
-                seeds[tuple(ws[k : k + block])].add(i)
+                seeds[tuple(ws[k : k + block])].add(n)
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -102,7 +103,7 @@ def _scan(items, min_run: int, min_coverage: float):
                     s = seeds.get(tuple(ws[k : k + block]))
                     if s:
                         hit |= s
-                out += [x for i in sorted(hit) if (x := _leak(d, ws, i, texts[i], min_run, min_coverage))]
+                out += [x for n in sorted(hit) if (x := _leak(d, ws, *texts[n], min_run, min_coverage))]
             if out:
                 yield _batch(out)
 
@@ -127,15 +128,22 @@ def leaks(documents: DataFrame, items: DataFrame, *, min_run: int = 13, min_cove
 
     One row per (doc_id, item_id) with at least one tile of ``min_run`` words and tiles over at least
     ``min_coverage`` of the passage: number of tiles, longest run, words covered and their share. Null or empty
-    texts, passages shorter than ``min_run`` words and null ids match nothing. Repeated rows are reported once.
+    texts, passages shorter than ``min_run`` words and null ids match nothing. Repeated rows are reported once;
+    of several passages of one item each is searched, and the one with the largest share covered is reported.
     """
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
     src = items.select("item_id", "passage").where("item_id is not null and passage is not null").distinct()
     rows = bounded_rows(src, max_items)
     if rows is not None:
         sent = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-        return docs.mapInArrow(_scan(sent, min_run, min_coverage), LEAK).distinct()
-    return _joined(docs, src, min_run, min_coverage).distinct()
+        return _best(docs.mapInArrow(_scan(sent, min_run, min_coverage), LEAK))
+    return _best(_joined(docs, src, min_run, min_coverage))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """One row per document and item: of several passages the one with the largest share covered."""
+    best = F.max(F.struct("coverage", "covered_words", "longest_run", "n_tiles")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"best.{c}" for c in ("n_tiles", "longest_run", "covered_words", "coverage")])
 
 
 def _joined(docs: DataFrame, items: DataFrame, min_run: int, min_coverage: float) -> DataFrame:

@@ -38,3 +38,12 @@ def test_against_brute_force(spark, rows):
     assert L.p8_found(dd.limit(0), ii).count() == 0 == L.p8_found(dd, ii.limit(0)).count()
     full = L.leaks(dd, ii, min_coverage=0.5).collect()
     assert all(r["coverage"] >= 0.5 and r["longest_run"] >= 13 for r in full)
+
+
+def test_several_passages_of_one_item(spark, rows):
+    a, b = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 20), ("b", 30)))
+    ii = spark.createDataFrame([(1, a), (1, b), (2, b)], "item_id bigint, passage string")
+    dd = spark.createDataFrame([(10, a), (11, b), (12, f"{a} {b}")], "doc_id bigint, text string")
+    want = [(10, 1), (11, 1), (11, 2), (12, 1), (12, 2)]
+    assert rows(L.p8_found(dd, ii)) == want
+    assert rows(L.leaks(dd, ii, max_items=1), "doc_id", "item_id") == want
