@@ -1,18 +1,22 @@
 """Problem 5: the main body of each page, by site style trees.
 
-Pages of one host are merged into a style tree: an element node is a chain of block elements (tag, id and classes),
-its content nodes are the lines found in it. A node's importance is the entropy of its content over the pages
-of the host (Yi, Liu and Li, "Eliminating noisy information in web pages for data mining", 2003): lines that come again
-on page after page have a low entropy, lines of their own a high one; the entropy of its presentation (the
-leaf tags in it) is added as the paper does. Inline and text-level elements (p, li, h1, a, b, span, ...) belong to the
-presentation of their block, so headings stay with the text around them.
-
-Most hosts have few pages, which tells their own tree little. The same statistics are therefore also taken over all
-hosts, for the chain with its numbers masked and lines reduced to their wording, and a branch's importance is a mean of
-both, weighted by the host's pages. A branch is removed when its importance, and that of each block below it, is low.
-
-Every page is parsed once, in one Arrow pass; the trees are two aggregations with map-side sums over (host, chain,
-line), so that a host with a third of all pages costs no long task. Verdicts come back per host as one small map, joined with
+Pages of one host are merged into a style tree (Yi, Liu and Li, "Eliminating noisy information in web pages for data
+mining", 2003): an element node is a chain of block elements (tag, id and classes), its content nodes are the lines
+found in it, the items of a menu each for itself. A content that is on most of the pages that have the node has an entropy near
+the largest possible, one of its own on each page a low one; a node's importance is one less the mean of its contents'
+shares, weighted by words, with a tenth for the entropy of its presentation (the leaf tags in it), as the paper adds it. Inline and text-level elements
+(p, li, h1, a, b, span, ...) belong to the presentation of their block, so headings stay with the text around them.
+
+Copies of one policy would make a main body look repeated. A page therefore counts with one over the number of its host's
+pages that hold the same long lines, estimated by the sizes of its groups of equal minimum hashes.
+
+A node that few different pages of its host have tells little. The same statistics are therefore also taken over all
+hosts, for the chain with its numbers masked and lines reduced to their wording, and weigh as much as ``prior_pages`` further pages
+of the host: with the default of 3, a node on 4 different pages goes by both trees alike, one on 10 by its own host for three
+quarters, one on a single page by all hosts. A branch is removed when its importance is low.
+
+Every page is parsed once, in one Arrow pass; the trees are aggregations with map-side sums over (host, chain,
+content), so that a host with a third of all pages costs no long task. Verdicts come back per host as one small map, joined with
 the page rows; hot hosts are salted in that join.
 """
 
@@ -42,7 +46,12 @@ _DIGITS = re.compile(r"\d+")
 #: Names and numbers are masked where lines are compared over all hosts.
 _NAME = re.compile(r"(?<![^\W_])(?:[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]*|\d+)(?:[.-][^\W_]+)*")
 
-PAGE = "fetch_id bigint, host string, chains array<string>, line_no array<int>, chain_no array<int>, tag array<string>, own array<bigint>, wording array<bigint>, n_words array<int>"
+#: What stands between the items of a menu.
+_ITEMS = re.compile(r"\s*[|·•/,»>–—:]\s*|\s{2,}")
+#: Words of a line that counts when copies of a policy are looked for, and minimum hashes of them.
+LONG_LINE, COPY_HASHES = 8, 4
+
+PAGE = "fetch_id bigint, host string, chains array<string>, line_no array<int>, chain_no array<int>, tag array<string>, wording array<bigint>, n_words array<int>, content_chain array<int>, content array<bigint>, content_words array<int>, copies array<bigint>"
 
 
 def text_nodes(markup: str) -> list[tuple[tuple[str, ...], str, str]]:
@@ -100,56 +109,109 @@ def align(lines: list[tuple[int, str]], nodes: list) -> list[tuple[int, str, int
     return out
 
 
+def contents(line: str) -> list[str]:
+    """The content nodes of a line: the items of a menu (three or more of at most four words on average), or the line."""
+    items = [x for x in _ITEMS.split(line) if x]
+    return items if len(items) > 2 and len(line.split()) <= 4 * len(items) else [line]
+
+
+def _copies(lines: list[str], page: int) -> list[int]:
+    """Minimum hashes of a page's long lines; those of a page without any are its own."""
+    hs = [xxhash.xxh3_64_intdigest(s) for s in lines if len(s.split()) >= LONG_LINE] or [xxhash.xxh3_64_intdigest(str(page))]
+    return [min((h * m + 0x632BE59BD9B4E019) & (2**64 - 1) for h in hs) - (1 << 63) for m in _ODD]
+
+
+_ODD = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93][:COPY_HASHES]
+
+
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fetch_id, host, html, text) -> PAGE."""
-    kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
     for b in batches:
         rows = []
         for i, host, markup, text in zip(*(b.column(k).to_pylist() for k in range(4))):
             lines = [(k + 1, s) for k, x in enumerate(text.split("\n")) if (s := x.strip())]
             nodes = text_nodes(markup) if markup else []
             chains: dict[str, int] = {}
-            no, cn, tags, own, wording, nw = [], [], [], [], [], []
+            no, cn, tags, wording, nw = [], [], [], [], []
+            held: dict[tuple[int, int], int] = {}
             for n, s, k in align(lines, nodes):
                 chain, tag = (" > ".join(nodes[k][0]), nodes[k][1]) if k >= 0 else ("?", "?")
                 no.append(n)
                 cn.append(chains.setdefault(chain, len(chains)))
                 tags.append(tag)
-                own.append(xxhash.xxh3_64_intdigest(s) - (1 << 63))
                 wording.append(xxhash.xxh3_64_intdigest(_NAME.sub("#", s)) - (1 << 63))
                 nw.append(len(s.split()))
-            rows.append((i, host, list(chains), no, cn, tags, own, wording, nw))
+                if k >= 0:
+                    for x in contents(s):
+                        at = cn[-1], xxhash.xxh3_64_intdigest(x) - (1 << 63)
+                        held[at] = held.get(at, 0) + len(x.split())
+            rows.append((i, host, list(chains), no, cn, tags, wording, nw, [c for c, _ in held], [x for _, x in held], list(held.values()), _copies([s for _, s in lines], i)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split(" ")[0] for x in PAGE.split(", ")])
 
 
+#: See style_tree.
+PRIOR_PAGES, THRESHOLD = 3.0, 0.78
+
+
 def mask(chain):
     """A chain without its numbers, to be compared over hosts."""
     return F.regexp_replace(chain, r"\d+", "#")
 
 
-def _importance(lines: DataFrame, keys: list[str], content: str) -> DataFrame:
-    """Importance of each node: the entropy of its content and of its presentation, each as a share of the largest possible.
-
-    ``lines`` has a row per line with the keys, ``content``, ``tag`` and ``words``. Content is weighted by words,
-    so that one long paragraph counts more than a short label; it has 1 where no line comes twice and 0 where all
-    are the same. Presentation is the entropy of the leaf tags and has a tenth of the weight.
-    """
+def _presentation(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines, presentation`` of each node: the entropy of the leaf tags in it, as a share of the largest possible."""
     n = F.count(F.lit(1)).cast("double")
-    c = lines.groupBy(*keys, content).agg(F.sum("words").cast("double").alias("w"), n.alias("n"))
-    c = c.groupBy(*keys).agg(F.sum("w").alias("words"), F.sum("n").alias("lines"), F.sum(F.col("w") * F.log2("n")).alias("w_log_n"))
-    t = lines.groupBy(*keys, "tag").agg(n.alias("n")).groupBy(*keys).agg(F.sum("n").alias("lines_t"), F.sum(F.col("n") * F.log2("n")).alias("n_log_n"), F.count(F.lit(1)).alias("tags"))
-    content_h = F.when(F.col("lines") > 1, F.greatest(F.lit(0.0), 1 - F.col("w_log_n") / (F.greatest("words", F.lit(1.0)) * F.log2("lines")))).otherwise(F.lit(1.0))
-    tag_h = F.when(F.col("tags") > 1, (F.log2("lines_t") - F.col("n_log_n") / F.col("lines_t")) / F.log2("tags")).otherwise(F.lit(0.0))
-    return c.join(t, keys).select(*keys, (F.lit(0.9) * content_h + F.lit(0.1) * tag_h).alias("importance"), "lines")
+    t = lines.groupBy(*keys, "tag").agg(n.alias("n")).groupBy(*keys).agg(F.sum("n").alias("lines"), F.sum(F.col("n") * F.log2("n")).alias("n_log_n"), F.count(F.lit(1)).alias("tags"))
+    return t.select(*keys, "lines", F.when(F.col("tags") > 1, (F.log2("lines") - F.col("n_log_n") / F.col("lines")) / F.log2("tags")).otherwise(F.lit(0.0)).alias("presentation"))
+
 
+def _combined(content):
+    """Importance: content and, with a tenth of the weight, presentation."""
+    return F.lit(0.9) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), content)) + F.lit(0.1) * F.col("presentation")
 
-def style_tree(fetches: DataFrame, *, host_col: str = "site_etld1", prior_pages: float = 20.0, threshold: float = 0.76) -> DataFrame:
+
+def all_hosts_tree(lines: DataFrame) -> DataFrame:
+    """``masked, h_all``: importance of masked chains over all hosts, by the entropy of the wordings of their lines.
+
+    Content is weighted by words, so that one long paragraph counts more than a short label; it has 1 where no
+    wording comes twice and 0 where all are the same.
+    """
+    n = F.count(F.lit(1)).cast("double")
+    c = lines.groupBy("masked", "wording").agg(F.sum("words").cast("double").alias("w"), n.alias("n"))
+    c = c.groupBy("masked").agg(F.sum("w").alias("words"), F.sum(F.col("w") * F.log2("n")).alias("w_log_n")).join(_presentation(lines, ["masked"]), "masked")
+    content = F.when(F.col("lines") > 1, 1 - F.col("w_log_n") / (F.greatest("words", F.lit(1.0)) * F.log2("lines"))).otherwise(F.lit(1.0))
+    return c.select("masked", _combined(content).alias("h_all"))
+
+
+def page_weights(pages: DataFrame) -> DataFrame:
+    """``fetch_id, weight``: one over the mean size of a page's groups of equal minimum hashes on its host."""
+    at = pages.select("fetch_id", "host", F.posexplode("copies").alias("turn", "copy"))
+    size = at.groupBy("host", "turn", "copy").agg(F.count(F.lit(1)).alias("n"))
+    return at.join(size, ["host", "turn", "copy"]).groupBy("fetch_id").agg((1 / F.avg("n")).alias("weight"))
+
+
+def site_tree(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """``host, chain, masked, different_pages, h_own``: the nodes of each host's own tree."""
+    z = F.arrays_zip("content_chain", "content", "content_words")
+    d = pages.join(page_weights(pages), "fetch_id").select("host", "chains", "weight", z.alias("z"))
+    nodes = d.select("host", F.explode(F.filter("chains", lambda c: c != "?")).alias("chain"), "weight").groupBy("host", "chain").agg(F.sum("weight").alias("different_pages"))
+    d = d.select("host", "chains", "weight", F.explode("z").alias("z"))
+    d = d.select("host", F.element_at("chains", F.col("z.content_chain") + 1).alias("chain"), F.col("z.content").alias("content"), F.col("z.content_words").alias("words"), "weight")
+    c = d.groupBy("host", "chain", "content").agg(F.sum("weight").alias("on"), F.sum(F.col("words") * F.col("weight")).alias("w"))
+    c = c.groupBy("host", "chain").agg(F.sum("w").alias("words"), F.sum(F.col("w") * F.log2(F.greatest("on", F.lit(1.0)))).alias("w_log_on"))
+    c = c.join(nodes, ["host", "chain"]).join(_presentation(lines, ["host", "chain"]), ["host", "chain"])
+    content = F.when(F.col("different_pages") > 1.01, 1 - F.col("w_log_on") / (F.col("words") * F.log2("different_pages"))).otherwise(F.lit(1.0))
+    return c.select("host", "chain", mask(F.col("chain")).alias("masked"), "different_pages", _combined(content).alias("h_own"))
+
+
+def style_tree(fetches: DataFrame, *, host_col: str = "site_etld1", prior_pages: float = PRIOR_PAGES, threshold: float = THRESHOLD) -> DataFrame:
     """``fetch_id, line_no, main``: for every non-blank line of ``text`` whether it is part of the page's main body.
 
     Lines are counted from 1 with blank ones. Rows with a null id or text have no lines. A line that is not in the page's
     markup, or a page without markup, takes the verdict of its wording elsewhere and counts as main where there is none.
-    ``prior_pages`` is how many pages a host needs for its own tree to get half of its largest weight;
+    ``prior_pages`` is how many further pages of a host, different from the first, must have a node for its own tree to weigh as much as all hosts';
     ``threshold`` the importance below which a branch is removed.
     """
     src = fetches.select(F.col("fetch_id").cast("bigint").alias("fetch_id"), F.coalesce(F.lower(F.col(host_col)), F.lit("")).alias("host"), F.coalesce("cleaned_html", "raw_html").alias("h"), "text").where("fetch_id is not null and text is not null")
@@ -158,20 +220,18 @@ def style_tree(fetches: DataFrame, *, host_col: str = "site_etld1", prior_pages:
 
 def lines_of(pages: DataFrame) -> DataFrame:
     """A row per line of a page."""
-    z = F.arrays_zip("line_no", "chain_no", "tag", "own", "wording", "n_words")
+    z = F.arrays_zip("line_no", "chain_no", "tag", "wording", "n_words")
     d = pages.select("fetch_id", "host", "chains", F.explode(z).alias("z"))
-    return d.select("fetch_id", "host", F.element_at("chains", F.col("z.chain_no") + 1).alias("chain"), F.col("z.line_no").alias("line_no"), F.col("z.tag").alias("tag"), F.col("z.own").alias("own"), F.col("z.wording").alias("wording"), F.col("z.n_words").alias("words"))
+    return d.select("fetch_id", "host", F.element_at("chains", F.col("z.chain_no") + 1).alias("chain"), F.col("z.line_no").alias("line_no"), F.col("z.tag").alias("tag"), F.col("z.wording").alias("wording"), F.col("z.n_words").alias("words"))
 
 
-def classify(pages: DataFrame, prior_pages: float = 20.0, threshold: float = 0.76) -> DataFrame:
+def classify(pages: DataFrame, prior_pages: float = PRIOR_PAGES, threshold: float = THRESHOLD) -> DataFrame:
     """``fetch_id, line_no, main`` of parsed pages (PAGE)."""
     lines = lines_of(pages).where("chain <> '?'").withColumn("masked", mask(F.col("chain")))
-    n_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    own = _importance(lines, ["host", "chain"], "own").withColumn("masked", mask(F.col("chain"))).withColumnRenamed("importance", "h_own").select("host", "chain", "masked", "h_own")
-    every = _importance(lines, ["masked"], "wording").select("masked", F.col("importance").alias("h_all"))
-    # A host's own tree has three tenths of the weight at most: copies of one policy make its main body look repeated.
-    weight = F.lit(0.3) * F.col("n_pages") / (F.col("n_pages") + F.lit(prior_pages))
-    verdict = own.join(every, "masked").join(n_pages, "host").select("host", "chain", (weight * F.col("h_own") + (1 - weight) * F.col("h_all") >= threshold).alias("main"))
+    # One page compares with none: it says nothing of what comes again.
+    others = F.greatest(F.col("different_pages") - 1, F.lit(0.0))
+    weight = others / (others + F.lit(prior_pages))
+    verdict = site_tree(pages, lines).join(all_hosts_tree(lines), "masked").select("host", "chain", (weight * F.col("h_own") + (1 - weight) * F.col("h_all") >= threshold).alias("main"))
     # Verdicts to pages by (host, chain): the pages of a hot host are spread over SALTS slices, their verdicts copied to each.
     salt = F.pmod(F.xxhash64("fetch_id"), F.lit(SALTS)).cast("int")
     at = pages.select("fetch_id", "host", salt.alias("salt"), F.posexplode("chains").alias("chain_no", "chain"))
