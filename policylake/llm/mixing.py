@@ -40,20 +40,21 @@ def load_encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _counter(path: str):
+def _counter(path: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load_encoding(path)
         for b in batches:
             n = [0 if t is None else len(enc.encode_ordinary(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
+            columns = [b.column(0), b.column(1), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, b.column(2)] if with_text else columns, names=["doc_id", "source", "n_tokens", *(["text"] if with_text else [])])
 
     return run
 
 
-def count_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, n_tokens of every document; null and empty texts have 0."""
+def count_tokens(documents: DataFrame, path: str = TOKENIZER, with_text: bool = False) -> DataFrame:
+    """doc_id, source, n_tokens of every document, and its text if asked for; null and empty texts have 0."""
     d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_counter(path), "doc_id bigint, source string, n_tokens bigint")
+    return d.mapInArrow(_counter(path, with_text), "doc_id bigint, source string, n_tokens bigint" + (", text string" if with_text else ""))
 
 
 def censored_mean(lam: float, cap: int) -> float:
@@ -110,15 +111,16 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER,
     ``mixed(doc_id, source, copy_no, n_tokens, place[, text])``: a row for each copy of a chosen document, in random order:
     sorted by ``place`` inside each part, parts cut by a hash of the copy. ``report(source, target_share, max_repeats,
     source_tokens, mean_repeats, mixed_tokens, n_copies, actual_share)``: one row per target source.
-    Documents of no target source, without a source or without an id, and empty ones are not chosen. A doc_id that
-    occurs in several rows is drawn once and copied for each. A source without documents gets nothing, its share goes to none.
+    Documents of no target source, without a source or without an id, and empty ones are not chosen. Rows of one doc_id
+    are copied equally often, each with its own text. A source without documents gets nothing, its share goes to none.
     """
     spark = documents.sparkSession
     rows = bounded_rows(targets.select("source", "target_share", "max_repeats").where("source is not null"), MAX_TARGETS)
     if rows is None:
         raise ValueError("mix: more target sources than MAX_TARGETS")
     plan = [(r[0], float(r[1] or 0.0), int(r[2] or 0)) for r in rows]
-    counted = cut(count_tokens(documents, tokenizer), "tokens").where("doc_id is not null and n_tokens > 0")
+    # The text goes along in the written table: a join by id would multiply repeated ids and move all texts once more.
+    counted = cut(count_tokens(documents, tokenizer, with_text), "tokens").where("doc_id is not null and n_tokens > 0")
     names = spark.createDataFrame([(n,) for n, _, _ in plan], "source string").distinct()
     sums = counted.join(F.broadcast(names), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("s"))
     sizes = {r["source"]: r["s"] for r in sums.collect()}  # at most one row per target source
@@ -128,15 +130,12 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER,
     # 53 bits of a hash of (seed, id), as a number in [0, 1).
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") * F.lit(2.0**-53)
     chosen = counted.join(F.broadcast(steps), "source").withColumn("u", u)
-    chosen = chosen.withColumn("n_copies", F.size(F.filter("steps", lambda s: s <= F.col("u")))).where("n_copies > 0").select("doc_id", "source", "n_tokens", "n_copies")
+    chosen = chosen.withColumn("n_copies", F.size(F.filter("steps", lambda s: s <= F.col("u")))).where("n_copies > 0").select("doc_id", "source", "n_tokens", "n_copies", *(["text"] if with_text else []))
     done = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("mixed_tokens"), F.sum("n_copies").alias("n_copies"))
     base = spark.createDataFrame([(n, s, c, sizes.get(n, 0), rates.get(n, 0.0)) for n, s, c in plan], "source string, target_share double, max_repeats int, source_tokens bigint, mean_repeats double")
     report = base.join(done, "source", "left").fillna(0, ["mixed_tokens", "n_copies"])
     whole = report.agg(F.sum("mixed_tokens").alias("w"))
     report = report.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("w") > 0, F.col("mixed_tokens") / F.col("w")).otherwise(F.lit(0.0))).drop("w")
-    if with_text:
-        texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        chosen = chosen.join(texts, "doc_id")
     copies = chosen.select("*", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no")).drop("n_copies")
     copies = copies.withColumn("place", F.xxhash64(F.lit(seed), F.lit("place"), "doc_id", "copy_no"))
     mixed = copies.repartition("place").sortWithinPartitions("place")

@@ -37,5 +37,9 @@ def test_mix(spark):
     assert sum(r["n_tokens"] for r in got if r["source"] == "b") == rep["b"]["mixed_tokens"]
     assert sorted(map(tuple, M.mix(d, t, with_text=True)[0].collect())) == sorted(map(tuple, got))
     assert M.mix(d.limit(0), t)[0].count() == 0
+    # Repeated ids: each row is copied equally often with its own text, and the report counts what is there.
+    r = spark.createDataFrame([(7, f"text {i % 3}", "a") for i in range(200)], "doc_id bigint, text string, source string")
+    mixed, report = M.mix(r, t.where("source = 'a'"), with_text=True)
+    assert mixed.count() == 200 == report.first()["n_copies"] and mixed.groupBy("text").count().count() == 3
     enc = M.load_encoding(M.TOKENIZER)
     assert enc.decode(enc.encode_ordinary("Grüße 123!")) == "Grüße 123!"
