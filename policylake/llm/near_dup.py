@@ -151,16 +151,16 @@ def near_duplicate_pairs(links: DataFrame, members: DataFrame, numeric: bool = F
     return pairs.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("key_a"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("key_b"))
 
 
-def near_duplicate_classes(links: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def near_duplicate_classes(links: DataFrame, members: DataFrame) -> DataFrame:
     """One row per record: ``id, group_id`` (smallest representative it is connected to) and ``n_links`` of its class.
 
     Connected components by repeated minimum over neighbours with pointer jumping; every round is a written
-    table, the number of rounds grows with the logarithm of the longest chain. Raises if ``rounds`` is too small.
+    table; the rounds end when no label changes, and their number grows with the logarithm of the longest chain.
     """
     edges = cut(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "cc-edges")
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(members.select(F.col("rep").alias("a")).distinct().withColumn("g", F.col("a")), "cc")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("a").alias("b"), F.col("g").alias("gb")), "b").groupBy("a").agg(F.min("gb").alias("m"))
         step = labels.join(near, "a", "left").select("a", "g", F.least("g", F.coalesce("m", "g")).alias("n"))
         jump = step.select(F.col("a").alias("n"), F.col("n").alias("nn"))
@@ -168,8 +168,6 @@ def near_duplicate_classes(links: DataFrame, members: DataFrame, rounds: int = 3
         if step.where("n <> g").isEmpty():
             break
         labels = step.select("a", F.col("n").alias("g"))
-    else:
-        raise RuntimeError("near_duplicate_classes: more rounds are needed")
     count = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     return (
         members.join(labels, members["rep"] == labels["a"])
@@ -183,7 +181,7 @@ TRACKING = ("ref", "fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "yclid", "i
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
 
-def url_words(url, www: bool = True) -> Column:
+def url_words(url, www: bool = False) -> Column:
     """A URL column as space-separated words that are the same for every way of writing one page's address.
 
     Scheme, letter case of the host, default port, user part, fragment, repeated and final slashes, percent
@@ -218,13 +216,13 @@ def _unescape(col) -> Column:
         ok = (i > 0) & p.rlike("^[0-9A-Fa-f]{2}")
         ch = F.char(code)
         plain = ok & F.lit(UNRESERVED).contains(ch) & (ch != "")
-        escaped = F.concat(F.lit("%"), F.upper(F.substring(p, 1, 2)), F.substring(p, 3, 10**6))
-        return F.when(plain, F.concat(ch, F.substring(p, 3, 10**6))).when(ok, escaped).when(i > 0, F.concat(F.lit("%"), p)).otherwise(p)
+        escaped = F.concat(F.lit("%"), F.upper(F.substring(p, 1, 2)), F.substring(p, F.lit(3), F.length(p)))
+        return F.when(plain, F.concat(ch, F.substring(p, F.lit(3), F.length(p)))).when(ok, escaped).when(i > 0, F.concat(F.lit("%"), p)).otherwise(p)
 
     return F.array_join(F.transform(parts, piece), "")
 
 
-def same_page_urls(df: DataFrame, url_col: str, www: bool = True) -> DataFrame:
+def same_page_urls(df: DataFrame, url_col: str, www: bool = False) -> DataFrame:
     """Pairs (key_a < key_b in byte order) of different strings in ``url_col`` that lead to one page.
 
     The same min-max operator over the words of the address (one-word runs, whole similarity): addresses of
@@ -240,5 +238,5 @@ def p1_found(fetches: DataFrame, third_parties: DataFrame) -> DataFrame:
     """kind, key_a, key_b: pairs of nearly equal policy texts and of addresses of one page."""
     links, members = near_duplicate_links(fetches, "fetch_id", "text", n=3, threshold=0.5, min_words=80, bands=96, rows=5)
     texts = near_duplicate_pairs(links, members, numeric=True).select(F.lit("text").alias("kind"), "key_a", "key_b")
-    urls = same_page_urls(third_parties, "policy_url", www=False).select(F.lit("policy_url").alias("kind"), "key_a", "key_b")
+    urls = same_page_urls(third_parties, "policy_url").select(F.lit("policy_url").alias("kind"), "key_a", "key_b")
     return texts.unionByName(urls).distinct()

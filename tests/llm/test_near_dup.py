@@ -69,7 +69,7 @@ URLS = {
 
 def test_urls(spark, rows):
     all_ = [(u,) for k, v in URLS.items() for u in (k, *v)] + [(None,), ("",), ("https://h.example/a/b",)]
-    got = set(rows(N.same_page_urls(spark.createDataFrame(all_, "u string"), "u")))
+    got = set(rows(N.same_page_urls(spark.createDataFrame(all_, "u string"), "u", www=True)))
     want = {tuple(sorted((a, b))) for k, v in URLS.items() for a in (k, *v) for b in (k, *v) if a < b}
     assert got == want
 
