@@ -136,7 +136,7 @@ OWN = (
 )
 _OWN = re.compile("|".join(OWN), re.I)
 
-TEXT = "kind string, table_name string, row_id bigint, part int, tids array<int>, slot boolean, n_words int, template string, verdict string"
+TEXT = "kind string, table_name string, row_id bigint, part int, tids array<int>, slot boolean, page_share double, template string, verdict string"
 
 
 def masked(message: str) -> str:
@@ -146,7 +146,8 @@ def masked(message: str) -> str:
     return _MASK.sub(WILD, message) if _VARIABLE.search(message) else message
 
 
-#: A message of so many tokens, most of them capitalised, and without a verdict of its own is a list of names: which ones makes no template.
+#: A message of so many tokens, three fifths of them capitalised, and without a verdict of its own is a list of names: which ones makes
+#: no template. Its verdict was taken before, so the number decides how many templates there are, not what is found.
 NAMES = 12
 
 
@@ -239,28 +240,41 @@ class PrefixTree:
         return best
 
 
+_MENU_MARK = re.compile(r"[|·•/»>–—]")
+
+
+def is_menu(message: str, tokens: list[str]) -> bool:
+    """Whether a message is furniture rather than a sentence: without an end, and short, divided, or mostly capitalised."""
+    if message.rstrip()[-1:] in (".", "!", "?", "。"):
+        return False
+    return len(tokens) <= 4 or _MENU_MARK.search(message) is not None or 5 * sum(t[:1].isupper() or t == WILD for t in tokens) >= 3 * len(tokens)
+
+
 def _miner(whole: bool):
     """(table_name, row_id, text) -> TEXT: a row per text, then a row per template of this part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, part = PrefixTree(), TaskContext.get().partitionId()
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, int, int]] = {}  # template, words of a page's message, words of any message but a menu
         for b in batches:
             rows = []
             for name, i, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                tids = set()
+                tids, page, content = set(), 0, 0
                 for m in [t.replace("\n", " ")] if whole else _SENTENCE.split(t):
                     k = known.get(m)
                     if k is None:
                         tokens, verdict = read_message(m)
                         if not tokens:
                             continue
-                        k = tree.add(tokens, verdict)
+                        n = len(tokens)
+                        k = tree.add(tokens, verdict), n if verdict == "page" else 0, 0 if verdict != "page" and is_menu(m, tokens) else n
                         if len(known) > 200_000:
                             known.clear()
                         known[m] = k
-                    tids.add(k)
-                rows.append(("text", name, i, part, sorted(tids), has_slot(t), len(t.split()), None, None))
+                    tids.add(k[0])
+                    page += k[1]
+                    content += k[2]
+                rows.append(("text", name, i, part, sorted(tids), has_slot(t), page / max(1, content), None, None))
             if rows:
                 yield _batch(rows)
         for s in range(0, len(tree.templates), 10_000):
@@ -270,7 +284,7 @@ def _miner(whole: bool):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.string(), pa.string())
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.float64(), pa.string(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split(" ")[0] for x in TEXT.split(", ")])
 
 
@@ -295,7 +309,7 @@ def templates_of(texts: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def _verdicts(rows: DataFrame, templates: DataFrame) -> DataFrame:
-    """``table_name, row_id, n_words, slot, filler, page, own``: how many templates of each kind a text has.
+    """``table_name, row_id, page_share, slot, filler, page, own``: how many templates of each kind a text has.
 
     The templates with a verdict come as one row per part, so that a text finds them without being taken apart.
     """
@@ -303,18 +317,18 @@ def _verdicts(rows: DataFrame, templates: DataFrame) -> DataFrame:
     marked = templates.where(F.col("verdict").isin(*kinds)).groupBy("part").agg(*[F.collect_set(F.when(F.col("verdict") == k, F.col("tid"))).alias(f"{k}_tids") for k in kinds])
     d = rows.join(marked, "part", "left")
     n = {k: F.coalesce(F.size(F.array_intersect("tids", f"{k}_tids")), F.lit(0)) for k in kinds}
-    return d.select("table_name", "row_id", "n_words", (F.col("slot") | (n["slot"] > 0)).alias("slot"), *[n[k].alias(k) for k in kinds[1:]])
+    return d.select("table_name", "row_id", "page_share", (F.col("slot") | (n["slot"] > 0)).alias("slot"), *[n[k].alias(k) for k in kinds[1:]])
 
 
-#: A page with at most so many words can be an error page; one with more is content that may speak of errors.
-PAGE_WORDS = 90
+#: A text is an error page if such messages have at least this share of its words, menus left out; with less it is content that speaks of errors.
+PAGE_SHARE = 1 / 8
 
 
 def residue_pages(fetches: DataFrame) -> DataFrame:
     """``fetch_id, reason`` of fetches whose text has residue (slot, filler) or is an error page; null and empty texts are none."""
     t = fetches.select(F.lit("fetches").alias("table_name"), F.col("fetch_id").cast("bigint").alias("row_id"), "text").where("fetch_id is not null and text is not null and text <> ''")
     d = _verdicts(*templates_of(t, whole=False))
-    reason = F.when(F.col("slot"), "slot").when(F.col("filler") > 0, "filler").when((F.col("page") > 0) & (F.col("n_words") <= PAGE_WORDS), "page")
+    reason = F.when(F.col("slot"), "slot").when(F.col("filler") > 0, "filler").when((F.col("page") > 0) & (F.col("page_share") >= PAGE_SHARE), "page")
     return d.select(F.col("row_id").alias("fetch_id"), reason.alias("reason")).where("reason is not null")
 
 

@@ -62,3 +62,11 @@ def test_verdict_does_not_depend_on_other_texts(spark, rows):
         m = spark.createDataFrame(list(enumerate(ALIKE)), "fetch_id bigint, text string").repartition(part)
         r = m.selectExpr("fetch_id as result_id", "text as error_message")
         assert rows(R.p4_found(m, r)) == [("fetches", 0), ("results", 0)]
+
+
+def test_error_page_of_any_length(spark):
+    menu = "Home | Products | Our Shops | Careers\n" * 60
+    policy = "\n".join(f"We keep record {i} of your visits for {i} days and delete it after that." for i in range(40))
+    rows = [(1, "Error 404\nThe document was not found.\n" + menu), (2, policy + "\nIf this page is not found, write to us."), (3, menu)]
+    d = spark.createDataFrame(rows, "fetch_id bigint, text string")
+    assert [tuple(r) for r in R.residue_pages(d).collect()] == [(1, "page")]
