@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import uuid
+import warnings
 
 from pyspark.sql import functions as F
 
@@ -38,9 +39,21 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Options of a live crawl, which stored pages do not have.
+LIVE = ("headed", "browser", "user_agent", "proxy", "locale", "timezone_id", "page_timeout_ms", "concurrency", "third_party_engine", "crux_api_key", "crux_timeout_ms", "crux_concurrency", "prefilter_timeout_ms", "prefilter_concurrency", "prefilter_max_bytes", "prefilter_allow_http", "prefilter_require_links")
+
+
+def no_effect(args: argparse.Namespace) -> list[str]:
+    """Options that were given another value than their default and change nothing here."""
+    given = [f"--{n.replace('_', '-')}" for n in LIVE if getattr(args, n) != parser().get_default(n)]
+    return given + (["--crux-filter (without --crux-origins)"] if args.crux_filter and not args.crux_origins else [])
+
+
 def run(argv: list[str] | None = None, spark=None) -> str:
     """Run and write what was asked for; returns the run id."""
     args = parser().parse_args(argv)
+    for option in no_effect(args):
+        warnings.warn(f"{option} has no effect on stored pages", stacklevel=2)
     spark = spark or get_spark()
     run_id = args.run_id or str(uuid.uuid4())
     sites = sources.site_list(spark, args.input) if args.input else sources.ranked_list(spark, f"{args.tranco_cache_dir}/{args.tranco_date or '*'}.csv", args.tranco_top)

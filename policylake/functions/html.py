@@ -196,7 +196,7 @@ def quote(s: str) -> str:
 
 def non_browsable(status: Column, text: Column, markup: Column) -> Column:
     """Why a page cannot be browsed, NULL if it can: its HTTP state, an error page's words, or hardly any text and links."""
-    t = F.lower(strip(F.coalesce(F.nullif(text, F.lit("")), html_to_text(markup), F.lit(""))))
+    t = F.lower(strip(F.coalesce(F.nullif(text, F.lit("")), html_to_text(F.when(F.coalesce(text, F.lit("")) == "", markup)), F.lit(""))))
     n, links = F.length(t), anchor_count(F.nullif(markup, F.lit("")))
     error = t.rlike("|".join(f"(?:{p})" for p in fixed.ERROR_PAGE_PATTERNS))
     return (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from policylake.functions.common import strip, truthy
 from policylake.resources import fixed
 
-#: A public-suffix-list file; without one the last two labels are taken.
+#: A public-suffix-list file; it must be on every machine.
 SUFFIX_LIST = os.environ.get("PUBLIC_SUFFIX_LIST", "/usr/share/publicsuffix/public_suffix_list.dat")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
 
@@ -71,10 +71,8 @@ def scan_full_page(url: Column) -> Column:
 
 
 @functools.cache
-def suffix_rules(path: str) -> tuple[frozenset, frozenset, frozenset] | None:
-    """(plain, wildcard, exception) rules of the ICANN section of a suffix list; None if there is no file."""
-    if not os.path.exists(path):
-        return None
+def suffix_rules(path: str) -> tuple[frozenset, frozenset, frozenset]:
+    """(plain, wildcard, exception) rules of the ICANN section of a suffix list; a missing file is an error, not another result."""
     plain, wild, exc = set(), set(), set()
     with open(path, encoding="utf-8") as f:
         for line in f:

@@ -1,7 +1,7 @@
 """Problem 2: deeply nested result lines as related flat tables.
 
-A line is parsed once into records kept as maps from key to raw JSON text, so that any set of keys and any
-nesting is read without a fixed schema. Nested ``transform`` calls attach the keys of the ancestors and the
+A line is checked to be a whole document and split into records kept as maps from key to raw JSON text, so that any
+set of keys and any nesting is read without a fixed schema; each target table then reads the parts it needs. Nested ``transform`` calls attach the keys of the ancestors and the
 places in the lists, ``flatten`` joins the lists of the records of a line, and one ``inline`` per target table
 emits its rows. Everything is a projection: no shuffle, no Python, no state beyond one line.
 """
@@ -56,7 +56,8 @@ def records(df: DataFrame, id_col: str = "line_id", line_col: str = "line") -> D
 
     ``record_no`` is the place in the line's list, from 0; places of elements that are no records are left out
     but counted. A record inside an envelope (``{"type": ..., "result": {...}}``) is taken out of it. A line that
-    is no JSON document, or null or empty, has an empty array. A repeated line id gives a row for each.
+    is no JSON document, or null or empty, has an empty array, and so has one with a string of more than LONGEST_STRING
+    characters; ``rejected_lines`` lists them with the reason. A repeated line id gives a row for each.
     """
     line = F.col(f"`{line_col}`")
     # The parser keeps what it read of a broken document; only whole documents count.
@@ -73,6 +74,28 @@ def records(df: DataFrame, id_col: str = "line_id", line_col: str = "line") -> D
     return d.select(id_col, F.transform("recs", inner).alias("recs")).select(id_col, F.filter("recs", lambda r: r["m"].isNotNull()).alias("recs"))
 
 
+#: The longest string that the parser reads; a document with a longer one is refused as a whole.
+LONGEST_STRING = 20_000_000
+
+
+def rejected_lines(df: DataFrame, id_col: str = "line_id", line_col: str = "line") -> DataFrame:
+    """``id_col, n_chars, reason`` of the lines from which ``records`` reads nothing: every line is there or here.
+
+    ``reason`` is ``empty`` (null or blank), ``string_too_long`` (may be a document, with a string of more than
+    LONGEST_STRING characters, which the parser refuses), ``not_json``, or ``no_record`` (a document without a record).
+    """
+    line = F.col(f"`{line_col}`")
+    n = records(df.select(F.struct(F.col(f"`{id_col}`"), F.length(line).alias("n"), line.alias("line")).alias("at"), line.alias("line")), "at", "line")
+    d = n.where(F.size("recs") == 0).select(F.col(f"at.{id_col}").alias(id_col), F.col("at.n").alias("n_chars"), F.col("at.line").alias("line"))
+    reason = (
+        F.when(F.coalesce(F.trim("line"), F.lit("")) == "", "empty")
+        .when(F.try_parse_json("line").isNotNull(), "no_record")
+        .when((F.col("n_chars") > LONGEST_STRING) & F.ltrim("line").rlike(r"^[\[{]"), "string_too_long")
+        .otherwise("not_json")
+    )
+    return d.select(id_col, "n_chars", reason.alias("reason"))
+
+
 def _children(m: Column, names: tuple[str, ...]) -> Column:
     """The child objects under one of the names, as (child_no, key, map), whatever form they are kept in.
 

@@ -28,13 +28,15 @@ def write_artifacts(df: DataFrame, path: str) -> None:
 
 
 def write_explorer(records: DataFrame, path: str) -> None:
-    """Explorer records: JSON lines for a ``.jsonl`` path, else one JSON array, which is for a bounded number of records."""
+    """Explorer records: JSON lines for a ``.jsonl`` path, else one JSON array in rank order, which passes through the driver part by part."""
     if path.endswith(".jsonl"):
         write_lines(records, path, append=False)
         return
-    rows = records.orderBy("rank").toJSON().collect()
     with open(path, "w", encoding="utf-8") as f:
-        f.write("[" + ",\n".join(rows) + "]\n")
+        f.write("[")
+        for n, (row,) in enumerate(records.orderBy("rank").select(F.to_json(F.struct(*records.columns))).toLocalIterator()):
+            f.write((",\n" if n else "") + row)
+        f.write("]\n")
 
 
 def write_ranked_text(ranked: DataFrame, path: str) -> None:

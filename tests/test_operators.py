@@ -123,6 +123,17 @@ def test_nested(spark, rows):
     assert nested.p2_found(d.limit(0)).count() == 0
 
 
+def test_rejected_lines(spark, rows):
+    n = nested.LONGEST_STRING
+    d = spark.sql(
+        f"""SELECT * FROM VALUES (1, '{{"site_url": "u"}}'), (2, '{{"a": 1'), (3, NULL), (4, '  '), (5, '[1, 2]') AS t(line_id, line)
+        UNION ALL SELECT 6, concat('{{"site_url":"u","x":"', repeat('y', {n + 1}), '"}}') UNION ALL SELECT 7, concat('{{"site_url":"u","x":"', repeat('y', {n - 1}), '"}}')"""
+    )
+    read = {r["line_id"] for r in nested.records(d).where("size(recs) > 0").collect()}
+    assert read == {1, 7}
+    assert rows(nested.rejected_lines(d), "line_id", "reason") == [(2, "not_json"), (3, "empty"), (4, "empty"), (5, "no_record"), (6, "string_too_long")]
+
+
 def test_skew(spark, rows):
     data = [("hot", i % 700, f"s{i % 5}") for i in range(1400)] + [(f"k{i}", i, "s") for i in range(30)] + [(None, 9999, "s"), ("", 9998, None), ("k1", None, "s")]
     d = spark.createDataFrame(data, "key string, id bigint, site string").withColumn("n_rows", F.lit("clash"))
